@@ -216,7 +216,7 @@ CHECKS: dict[str, str] = {
         ("seeds", "files"),
         """, given AS (
             SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS pattern
-            FROM (SELECT w, n, unnest([1, 2]) AS i FROM seeds, (SELECT unnest([1, 2, 4]) AS n))
+            FROM (SELECT w, n, unnest([1, 2]) AS i FROM seeds, (SELECT unnest([1, 2, 4, 6]) AS n))
             WHERE i + n - 1 <= len(w)),
           texts AS (
             SELECT file_id, repo_name, ' ' || array_to_string(w, ' ') || ' ' AS t FROM files)

@@ -138,8 +138,7 @@ def _replies(spark, sf_dir) -> DataFrame:
 
 @query
 def pattern_list_parse(spark, sf_dir):
-    parsed = _replies(spark, sf_dir).withColumn("patterns", tx.pattern_list(F.col("reply")))
-    return parsed.select(
+    return pat.with_pattern_list(_replies(spark, sf_dir)).select(
         "row_index",
         F.size("patterns").alias("n_patterns"),
         F.array_join("patterns", "|").alias("patterns"),
@@ -218,9 +217,9 @@ def pattern_hits(spark, sf_dir):
 
 @query
 def phrase_hits(spark, sf_dir):
-    """Runs of one, two and four words looked up in whole texts."""
+    """Runs of one to six words looked up in whole texts."""
     seeds = t.seeds(spark, sf_dir)
-    given = search.union_hits(*[pat.seed_patterns(seeds, limit=2, n=n) for n in (1, 2, 4)])
+    given = search.union_hits(*[pat.seed_patterns(seeds, limit=2, n=n) for n in (1, 2, 4, 6)])
     return search.phrase_hits(given, t.files(spark, sf_dir))
 
 

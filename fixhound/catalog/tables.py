@@ -16,8 +16,23 @@ from fixhound.plans.matching import Inputs
 REPORT_FILTERS = {"language": "R", "cwe_id": "BUILDING", "min_score": 55}
 
 
+# The test tables' columns, so that no job is spent on looking at files first.
+SCHEMAS = {
+    "benchmark": "item_id BIGINT, text STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "lineitem": "l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, "
+    "o_orderpriority STRING",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fix_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

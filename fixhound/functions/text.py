@@ -16,13 +16,17 @@ CELL_MARK = "\n... (truncated)"
 LANGUAGE_QUALIFIER = "language:python"
 MAX_PATTERNS = 5
 
-# White space as Python's str.strip sees it.
-_BLANK = r"[\s\x1c-\x1f]"
+# Fixed value: the white space that Python's str.strip drops.
+BLANKS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    """Drop white space of any kind at both ends; `trim` would drop spaces only."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    """Drop white space of any kind at both ends; `trim` alone would drop spaces only."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def concat_skipping_nulls(*parts: Column) -> Column:
@@ -110,43 +114,30 @@ def qualified(pattern: Column) -> Column:
     )
 
 
-def unfenced(reply: Column) -> Column:
-    """Take the inside of a fenced block of more than two lines; else leave the text."""
-    text = strip(reply)
-    inside = F.regexp_extract(text, r"(?s)\A[^\n]*\n(.*)\n[^\n]*\z", 1)
-    is_block = text.startswith("```") & text.rlike(r"(?s)\A[^\n]*\n.*\n[^\n]*\z")
-    labelled = inside.startswith("json")
+def unfenced(text: Column, lines: Column) -> Column:
+    """The inside of a fenced block of more than two lines; any other text as it is.
+
+    `text` is stripped and `lines` are its lines. The first and last line go whatever the
+    last one holds, then a leading `json`.
+    """
+    inside = F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n")
+    fenced = text.startswith("```") & (F.size(lines) > 2)
+    label = F.lit("json")
     return (
-        F.when(is_block & labelled, strip(F.substr(inside, F.lit(5))))
-        .when(is_block, inside)
+        F.when(fenced & inside.startswith(label), strip(F.substr(inside, F.lit(5))))
+        .when(fenced, inside)
         .otherwise(text)
     )
 
 
-def pattern_list(reply: Column) -> Column:
-    """At most five patterns from a JSON list; anything else is an empty list.
+def listed_text(pair: Column) -> Column:
+    """Text of one list item, given as its JSON `text` and its typed `value`.
 
-    The reply is read inside one more pair of brackets, so text after the list makes the
-    whole reply invalid. The text of numbers comes from `from_json`; the variant tells
-    null, true and false from strings that look the same.
+    The variant tells null, true and false from strings that look the same.
     """
-    wrapped = F.concat(F.lit("["), unfenced(reply), F.lit("]"))
-    texts = F.from_json(wrapped, "array<array<string>>", {"allowSingleQuotes": "false"})
-    typed = F.try_variant_get(F.try_parse_json(wrapped), "$[0]", "array<variant>")
-    pairs = F.arrays_zip(
-        F.slice(texts[0], 1, MAX_PATTERNS).alias("text"),
-        F.slice(typed, 1, MAX_PATTERNS).alias("value"),
-    )
-
-    def shown(pair: Column) -> Column:
-        kind = F.schema_of_variant(pair["value"])
-        return (
-            F.when(kind == "VOID", F.lit("None"))
-            .when(kind == "BOOLEAN", F.initcap(pair["text"]))
-            .otherwise(pair["text"])
-        )
-
-    valid = texts.isNotNull() & (F.size(texts) == 1) & typed.isNotNull()
-    return F.when(valid, F.transform(pairs, shown)).otherwise(
-        F.array().cast("array<string>")
+    kind = F.schema_of_variant(pair["value"])
+    return (
+        F.when(kind == "VOID", F.lit("None"))
+        .when(kind == "BOOLEAN", F.initcap(pair["text"]))
+        .otherwise(pair["text"])
     )

@@ -14,45 +14,47 @@ from fixhound.operators.patterns import PAIR, meet_grams
 from fixhound.operators.spread import durable, fits_broadcast, hot_key_join
 
 HITS_PER_PATTERN = 10
+RUN_WORDS = 4
 
 
-def pattern_hits(
-    patterns: DataFrame, files: DataFrame, sizes: tuple[int, ...] = (PAIR,)
-) -> DataFrame:
+def pattern_hits(patterns: DataFrame, files: DataFrame, n: int = PAIR) -> DataFrame:
     """Files that hold a pattern: `pattern, file_id, repo_name`, once per pair.
 
-    Every pattern must have as many words as one of `sizes`; see `phrase_hits` otherwise.
+    Every pattern must have n words; see `phrase_hits` otherwise.
     """
     wanted = patterns.select("pattern").where(F.col("pattern") != "").distinct()
-    return meet_grams(files, wanted, sizes).select("pattern", "file_id", "repo_name")
+    return meet_grams(files, wanted, n).select("pattern", "file_id", "repo_name")
 
 
 def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
     """Like `pattern_hits` for phrases of any length.
 
-    Phrases of three or more words are looked up by their first two, then compared with
-    the words of the file.
+    Phrases are looked up by their first two words, and the next two are compared on the
+    spot. Only those that go on are compared with the words of the file.
     """
     split = with_words(patterns.select("pattern").distinct(), "pattern")
-    keyed = split.where(F.size("words") > 0).select(
-        F.array_join(F.slice("words", 1, PAIR), " ").alias("pattern"),
+    keyed = split.select(
+        F.array_join("words", " ").alias("pattern"),
         F.col("pattern").alias("full"),
-        phrase(F.col("words")).alias("phrase"),
-        (F.size("words") > PAIR).alias("is_long"),
+        F.size("words").alias("n"),
     )
-    found = meet_grams(files, keyed, (1, PAIR)).drop("pattern").withColumnRenamed("full", "pattern")
-    found = durable(found)
-    long = found.where("is_long")
+    single = meet_grams(files, keyed.where("n = 1"), 1)
+    paired = durable(meet_grams(files, keyed.where("n > 1"), PAIR, width=RUN_WORDS))
+    long = paired.where(F.col("n") > RUN_WORDS)
     texts = with_words(file_texts(long, files), "content").select(
         "file_id", phrase(F.col("words")).alias("text")
     )
-    checked = hot_key_join(long, texts, "file_id", "inner", ["pattern"])
-    return union_hits(
-        found.where("NOT is_long").select("pattern", "file_id", "repo_name"),
-        checked.where(F.col("text").contains(F.col("phrase"))).select(
-            "pattern", "file_id", "repo_name"
-        ),
+    whole = F.concat(F.lit(" "), "pattern", F.lit(" "))
+    checked = hot_key_join(long, texts, "file_id", "inner", ["full"])
+    exact = (
+        single,
+        paired.where(F.col("n") <= RUN_WORDS),
+        checked.where(F.col("text").contains(whole)),
     )
+    named = [
+        part.select(F.col("full").alias("pattern"), "file_id", "repo_name") for part in exact
+    ]
+    return union_hits(*named)
 
 
 def file_texts(hits: DataFrame, files: DataFrame, *columns: str) -> DataFrame:

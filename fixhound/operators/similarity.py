@@ -63,7 +63,7 @@ def similar_pairs(seeds: DataFrame, files: DataFrame, min_share: float = 0.5) ->
     """
     sets = durable(seed_sets(seeds))
     digested = files.withColumn("digest", F.sha2("content", 256))
-    met = meet_grams(digested, prefix_rows(sets, min_share), (SHINGLE_WORDS,), "digest")
+    met = meet_grams(digested, prefix_rows(sets, min_share), SHINGLE_WORDS, "digest")
     candidates = durable(
         met.select("seed", "file_id", "digest")
         .distinct()

@@ -14,6 +14,8 @@ BROADCAST_BYTES = 64 << 20
 # A key is heavy from this share of the rows on, so there are at most 1 / HEAVY_SHARE keys.
 HEAVY_SHARE = 0.01
 SALTS = 64
+# With fewer rows than this, one task can take all of them, and no key is heavy.
+SPREAD_FROM_ROWS = 1_000_000
 _SKETCH_ITEMS = 1024
 _SKETCH_GROUPS = 64
 
@@ -29,28 +31,25 @@ def fits_broadcast(df: DataFrame, text: str | None = None) -> bool:
     return rows <= BROADCAST_ROWS and octets <= BROADCAST_BYTES
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
-    """Values of `key` that hold more than `share` of the rows, from a frequency sketch.
+def heavy_keys(df: DataFrame, key: str, from_rows: int | None = None) -> list:
+    """Values of `key` that hold more than HEAVY_SHARE of the rows, from a frequency sketch.
 
     Sketches merge in two steps, so no task receives one from every input partition. The
-    list has at most 1 / share values. It only steers where rows are sent, so an estimate
-    is good enough: joins give the same rows whatever it contains.
+    list has at most 1 / HEAVY_SHARE values. It only steers where rows are sent, so an
+    estimate is good enough: joins give the same rows whatever it contains.
     """
+    rows = df.count()
+    if rows < (SPREAD_FROM_ROWS if from_rows is None else from_rows):
+        return []
     tracked = (
         df.where(F.col(key).isNotNull())
         .select(F.col(key).alias("k"), (F.spark_partition_id() % _SKETCH_GROUPS).alias("g"))
         .groupBy("g")
-        .agg(
-            F.expr(f"approx_top_k_accumulate(k, {_SKETCH_ITEMS})").alias("s"),
-            F.count("*").alias("n"),
-        )
-        .agg(
-            F.expr(f"approx_top_k_combine(s, {_SKETCH_ITEMS})").alias("s"),
-            F.sum("n").alias("n"),
-        )
-        .where("n > 0")
-        .selectExpr("n", f"explode(approx_top_k_estimate(s, {int(1 / share)})) AS t")
-        .where(F.col("t.count") > F.col("n") * share)
+        .agg(F.expr(f"approx_top_k_accumulate(k, {_SKETCH_ITEMS})").alias("s"))
+        .agg(F.expr(f"approx_top_k_combine(s, {_SKETCH_ITEMS})").alias("s"))
+        .where(F.col("s").isNotNull())
+        .selectExpr(f"explode(approx_top_k_estimate(s, {int(1 / HEAVY_SHARE)})) AS t")
+        .where(F.col("t.count") > rows * HEAVY_SHARE)
         .select("t.item")
     )
     return [row[0] for row in tracked.collect()]
@@ -86,19 +85,23 @@ def hot_key_join(
 
 
 def spread_join(
-    large: DataFrame, small: DataFrame, key: str, spread_by: list[str], salts: int
+    large: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], salts: int
 ) -> DataFrame:
     """Inner join for a `large` side that is too dear to sketch: repeat all of `small`."""
-    return (
-        large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-        .join(
-            small.withColumn(
-                "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-            ),
-            [key, "_salt"],
-        )
-        .drop("_salt")
-    )
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    return salted.join(small.withColumn("_salt", every_salt), [*on, "_salt"]).drop("_salt")
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer input splits than there are cores, over all cores.
+
+    A large table has more splits than that and is left as it is stored.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, "file_id")
 
 
 def durable(df: DataFrame) -> DataFrame:
