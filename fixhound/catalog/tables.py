@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixhound.operators.search import file_texts
 from fixhound.plans.matching import Inputs
 
 # The report's filter values in terms of the test tables.
@@ -105,15 +106,19 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of a source is its README, its language the description.
 
-    The first number is found on two narrow columns; texts join on it afterwards, so no
-    text takes part in an aggregation.
+    The first number is found on two narrow columns; only the texts so named are kept, so
+    no text takes part in an aggregation.
     """
     documents = load(spark, sf_dir, "documents")
-    first = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    return documents.join(first, ["source", "doc_id"], "left_semi").select(
+    first = documents.groupBy("source").agg(F.min("doc_id").alias("file_id"))
+    named = documents.select(
+        F.col("doc_id").alias("file_id"),
         F.col("source").alias("repo_name"),
+        F.col("text").alias("content"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("description"),
-        F.col("text").alias("readme"),
+    )
+    return file_texts(first, named, "repo_name", "description").select(
+        "repo_name", "description", F.col("content").alias("readme")
     )
 
 

@@ -103,29 +103,26 @@ def best_per_seed(entries: DataFrame, limit: int, rank: str = "rank") -> DataFra
     return entries.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
 
 
-def with_content(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the whole text of each entry's first hit."""
-    texts = file_texts(entries, files)
-    return hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
-
-
 def similar_by_patterns(
     entries: DataFrame, patterns: DataFrame, files: DataFrame, leading: int = RULE_PATTERNS
 ) -> DataFrame:
-    """`similar`: the first hit holds at least one of the seed's leading patterns."""
+    """`similar`: the first hit holds at least one of the seed's leading patterns.
+
+    `entries` must be durable, as for the other rules. A file's words are put together once,
+    however many seeds have it as a first hit.
+    """
     phrases = (
         patterns.where(F.col("pattern_no") <= leading)
         .groupBy("row_index")
         .agg(F.collect_list(F.concat(F.lit(" "), "pattern", F.lit(" "))).alias("phrases"))
     )
-    texts = with_words(with_content(entries, files), "content").withColumn(
-        "text", phrase(F.col("words"))
+    texts = with_words(file_texts(entries, files), "content").select(
+        "file_id", phrase(F.col("words")).alias("text")
     )
-    return texts.join(phrases, "row_index", "left").select(
-        *entries.columns,
-        F.coalesce(
-            F.exists("phrases", lambda p: F.col("text").contains(p)), F.lit(False)
-        ).alias("similar"),
+    joined = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
+    held = F.exists("phrases", lambda p: F.col("text").contains(p))
+    return joined.join(phrases, "row_index", "left").select(
+        *entries.columns, F.coalesce(held, F.lit(False)).alias("similar")
     )
 
 
@@ -133,9 +130,10 @@ def similar_by_share(
     entries: DataFrame, seeds: DataFrame, files: DataFrame, min_share: float
 ) -> DataFrame:
     """`similar`: the first hit holds at least `min_share` of the seed's shingles."""
-    texts = with_words(with_content(entries, files), "content")
-    pairs = texts.join(seeds.select("row_index", "code"), "row_index")
-    pairs = with_words(pairs, "code", "seed_words")
+    texts = file_texts(entries, files)
+    pairs = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
+    pairs = pairs.join(seeds.select("row_index", "code"), "row_index")
+    pairs = with_words(with_words(pairs, "content"), "code", "seed_words")
     share = seed_share(F.col("seed_words"), F.col("words"))
     return pairs.select(*entries.columns, share.alias("share")).withColumn(
         "similar", F.coalesce(F.col("share") >= min_share, F.lit(False))
@@ -155,10 +153,13 @@ def latest_commits(commits: DataFrame) -> DataFrame:
     )
 
 
-def with_commit(entries: DataFrame, commits: DataFrame) -> DataFrame:
+def with_commit(
+    entries: DataFrame, commits: DataFrame, sample: DataFrame | None = None
+) -> DataFrame:
     """`commit_sha` and `commit_url` of the first hit; null for a file without commits."""
     newest = latest_commits(commits)
-    joined = hot_key_join(entries, newest, "file_id", "left", ["row_index", "repo_name"])
+    spread_by = ["row_index", "repo_name"]
+    joined = hot_key_join(entries, newest, "file_id", "left", spread_by, sample=sample)
     return joined.withColumnRenamed("sha", "commit_sha").withColumn(
         "commit_url", commit_url(F.col("repo_name"), F.col("commit_sha"))
     )
@@ -178,7 +179,7 @@ def with_head_fallback(lookups: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def results(matches: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:
-    """The published fields of each match, in rank order per seed.
+    """The published fields of each match, with its rank per seed; `matches` is durable.
 
     A file without commits keeps null in both commit fields.
     """
@@ -188,7 +189,7 @@ def results(matches: DataFrame, files: DataFrame, commits: DataFrame) -> DataFra
         snippet(empty_if_null(F.col("content"))).alias("code_snippet"),
     )
     located = hot_key_join(matches, shown, "file_id", "inner", ["row_index", "repo_name"])
-    return with_commit(located, commits).select(
+    return with_commit(located, commits, sample=matches).select(
         "row_index",
         "rank",
         "repo_name",

@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What may be broadcast: both bounds are measured before the hint is given.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
+# What may be broadcast. The size is measured before the hint is given.
+BROADCAST_BYTES = 256 << 20
+_ROW_BYTES = 32
 
 # A key is heavy from this share of the rows on, so there are at most 1 / HEAVY_SHARE keys.
 HEAVY_SHARE = 0.01
@@ -23,12 +23,12 @@ _SKETCH_GROUPS = 64
 def fits_broadcast(df: DataFrame, text: str | None = None) -> bool:
     """Measure `df`: is it small enough to be sent to every executor?
 
-    One aggregate; `text` names its only wide column. Meant for frames that do not grow
-    with the corpus, such as the patterns of the seeds.
+    One aggregate; `text` names its only wide column. Used for frames that grow with the
+    seeds, such as their patterns. Callers have another way for those that are too large.
     """
     size = F.sum(F.octet_length(text)) if text else F.lit(0)
     rows, octets = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and octets <= BROADCAST_BYTES
+    return rows * _ROW_BYTES + octets <= BROADCAST_BYTES
 
 
 def heavy_keys(df: DataFrame, key: str, from_rows: int | None = None) -> list:

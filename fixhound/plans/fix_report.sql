@@ -2,14 +2,14 @@
 -- The joined tables are reduced to their distinct keys first, so a commit that changed a
 -- million files counts once and the joins cannot multiply rows.
 WITH touched AS (
-  SELECT hash FROM file_change WHERE programming_language = :language
-  INTERSECT
-  SELECT hash FROM commits
+  SELECT f.hash
+  FROM (SELECT DISTINCT hash FROM file_change WHERE programming_language = :language) f
+  LEFT SEMI JOIN (SELECT DISTINCT hash FROM commits) c ON c.hash = f.hash
 ),
 classed AS (
-  SELECT cve_id FROM cwe_classification WHERE cwe_id = :cwe_id
-  INTERSECT
-  SELECT cve_id FROM cve
+  SELECT w.cve_id
+  FROM (SELECT DISTINCT cve_id FROM cwe_classification WHERE cwe_id = :cwe_id) w
+  LEFT SEMI JOIN (SELECT DISTINCT cve_id FROM cve) v ON v.cve_id = w.cve_id
 ),
 picked AS (
   SELECT DISTINCT cve_id, hash, repo_url FROM fixes WHERE score >= :min_score
