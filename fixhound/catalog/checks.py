@@ -324,10 +324,12 @@ CHECKS: dict[str, str] = {
             ON e.user_id = file_id AND n = 1""",
     ),
     "run_summary": _with(
-        _MATCHES,
-        """SELECT count(*) AS total, count(*) AS processed, CAST(0 AS BIGINT) AS skipped,
-            count(m.row_index) AS updated, count(*) - count(m.row_index) AS none_found
-          FROM seeds LEFT JOIN (SELECT DISTINCT row_index FROM matches) m USING (row_index)""",
+        (*_MATCHES, "shingles", "by_share"),
+        """SELECT count(*) AS total, count(*) AS processed,
+            count_if(done) AS skipped, count_if(NOT done AND hit) AS updated,
+            count_if(NOT done AND NOT hit) AS none_found
+          FROM (SELECT row_index IN (SELECT row_index FROM by_share) AS done,
+                       row_index IN (SELECT row_index FROM matches) AS hit FROM seeds)""",
     ),
     "seed_funnel": _with(
         (*_LISTED, "accepted"),

@@ -403,34 +403,35 @@ def detail_rows(spark, sf_dir):
     )
 
 
-@query
-def run_summary(spark, sf_dir):
-    """Counters of a run over a sheet in which the first run's results stand."""
-    listed, cells = _published_cells(spark, sf_dir)
-    seeds = t.seeds(spark, sf_dir)
-    return sheet.run_counters(seeds, listed)
-
-
 @query
 def seed_funnel(spark, sf_dir):
     return matching.funnel(t.inputs(spark, sf_dir))
 
 
-@query
-def incremental_run(spark, sf_dir):
-    """A run resumed on a sheet whose seeds partly have results by the share rule.
-
-    Finished seeds keep their cell; the pending ones are matched by the pattern rule.
-    """
+def _resumed(spark, sf_dir):
+    """A sheet whose seeds partly have results by the share rule, and its next run."""
     inputs = t.inputs(spark, sf_dir)
     before = repo.best_per_seed(
-        _compared(spark, sf_dir, "share").where("similar").drop("rank"), repo.MATCHES_PER_SEED
+        _compared(spark, sf_dir, "share").where("similar"), repo.MATCHES_PER_SEED
     ).withColumn("url", tx.repo_url(F.col("repo_name")))
     done = durable(sheet.update_found(inputs.seeds, publish.summary_cells(inputs.seeds, before)))
     todo = sheet.pending(done)
     found = matching.matches(
         matching.Inputs(todo, inputs.files, inputs.repos, inputs.commits)
     ).withColumn("url", tx.repo_url(F.col("repo_name")))
-    return sheet.update_found(done, publish.summary_cells(todo, found)).select(
-        "row_index", "cve_id", "found"
-    )
+    return done, todo, durable(found)
+
+
+@query
+def run_summary(spark, sf_dir):
+    """Counters of the resumed run: finished seeds are skipped, the others tried again."""
+    done, _, found = _resumed(spark, sf_dir)
+    return sheet.run_counters(done, found)
+
+
+@query
+def incremental_run(spark, sf_dir):
+    """The sheet after the resumed run: finished seeds keep their cell."""
+    done, todo, found = _resumed(spark, sf_dir)
+    updated = sheet.update_found(done, publish.summary_cells(todo, found))
+    return updated.select("row_index", "cve_id", "found")

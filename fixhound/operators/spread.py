@@ -35,19 +35,18 @@ def heavy_keys(df: DataFrame, key: str, from_rows: int | None = None) -> list:
     """Values of `key` that hold more than HEAVY_SHARE of the rows, from a frequency sketch.
 
     Sketches merge in two steps, so no task receives one from every input partition. The
-    list has at most 1 / HEAVY_SHARE values. It only steers where rows are sent, so an
-    estimate is good enough: joins give the same rows whatever it contains.
+    list has at most 1 / HEAVY_SHARE values, null among them if it is heavy. It only steers
+    where rows are sent, so an estimate is good enough: joins give the same rows whatever it
+    contains.
     """
     rows = df.count()
-    if rows < (SPREAD_FROM_ROWS if from_rows is None else from_rows):
+    if rows < max(1, SPREAD_FROM_ROWS if from_rows is None else from_rows):
         return []
     tracked = (
-        df.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("k"), (F.spark_partition_id() % _SKETCH_GROUPS).alias("g"))
+        df.select(F.col(key).alias("k"), (F.spark_partition_id() % _SKETCH_GROUPS).alias("g"))
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(k, {_SKETCH_ITEMS})").alias("s"))
         .agg(F.expr(f"approx_top_k_combine(s, {_SKETCH_ITEMS})").alias("s"))
-        .where(F.col("s").isNotNull())
         .selectExpr(f"explode(approx_top_k_estimate(s, {int(1 / HEAVY_SHARE)})) AS t")
         .where(F.col("t.count") > rows * HEAVY_SHARE)
         .select("t.item")
@@ -74,8 +73,8 @@ def hot_key_join(
     heavy = heavy_keys(left if sample is None else sample, key)
     if not heavy:
         return left.join(right, key, how)
-    is_heavy = F.col(key).isin(heavy)
-    salt = F.when(is_heavy, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    is_heavy = F.col(key).isin([value for value in heavy if value is not None])
+    salt = F.when(is_heavy | F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1)))
     salted_left = left.withColumn("_salt", F.coalesce(salt, F.lit(0)))
     salted_right = right.withColumn(
