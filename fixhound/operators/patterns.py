@@ -88,7 +88,7 @@ def meet_grams(
 
     The column `pattern` of `keyed` holds at least n words between single spaces. Its first
     n words are joined on; those up to `width` are compared as well. The result has
-    `file_id`, `keep` and the columns of `keyed`, once per file.
+    `file_id`, `keep` and the columns of `keyed`, as often as the run occurs in the file.
 
     A measured, small `keyed` goes to the files, and no word of the corpus is shuffled. A
     larger one meets them in a shuffle in which every run is spread over salts, since
@@ -110,7 +110,23 @@ def meet_grams(
         met = spread_join(runs, split, on, ["file_id"], GRAM_SALTS)
     for word in rest:
         met = met.where(F.col(f"_{word}").isNull() | (F.col(f"_{word}") == F.col(word)))
-    return met.select("file_id", keep, *keyed.columns).distinct()
+    return met.select("file_id", keep, *keyed.columns)
+
+
+def file_counts(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """In how many files each wanted word pair occurs: `pattern, n_files`.
+
+    The pairs of seeds include the commonest ones, so most of the corpus takes part. A file
+    drops its repeats before its pairs are unfolded, and all that is shuffled is one count
+    per pair and task.
+    """
+    texts = with_words(spread_scan(files.select("file_id", "content")), "content")
+    pairs = texts.select(F.explode(distinct_ngrams(F.col("words"), PAIR)).alias("pattern"))
+    keys = wanted.select("pattern").distinct()
+    count = F.count("*").alias("n_files")
+    if fits_broadcast(keys, "pattern"):
+        return pairs.join(F.broadcast(keys), "pattern").groupBy("pattern").agg(count)
+    return pairs.groupBy("pattern").agg(count).join(keys, "pattern", "left_semi")
 
 
 def rare_seed_patterns(
@@ -126,11 +142,9 @@ def rare_seed_patterns(
         "row_index",
         F.posexplode(distinct_ngrams(F.col("words"), PAIR)).alias("at", "pattern"),
     )
-    found = meet_grams(files, own.select("pattern").distinct())
-    counts = found.groupBy("pattern").agg(F.count("*").alias("n_files"))
     rarest_first = Window.partitionBy("row_index").orderBy("n_files", "at")
     return (
-        hot_key_join(own, counts, "pattern", "inner", ["row_index"])
+        hot_key_join(own, file_counts(files, own), "pattern", "inner", ["row_index"])
         .withColumn("pattern_no", F.row_number().over(rarest_first))
         .where(F.col("pattern_no") <= limit)
         .select("row_index", "pattern_no", "pattern", "n_files")

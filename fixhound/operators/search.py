@@ -17,13 +17,18 @@ HITS_PER_PATTERN = 10
 RUN_WORDS = 4
 
 
+def hit_places(patterns: DataFrame, files: DataFrame, n: int = PAIR) -> DataFrame:
+    """Places where a pattern of n words occurs: `pattern, file_id, repo_name`."""
+    wanted = patterns.select("pattern").where(F.col("pattern") != "").distinct()
+    return meet_grams(files, wanted, n).select("pattern", "file_id", "repo_name")
+
+
 def pattern_hits(patterns: DataFrame, files: DataFrame, n: int = PAIR) -> DataFrame:
     """Files that hold a pattern: `pattern, file_id, repo_name`, once per pair.
 
     Every pattern must have n words; see `phrase_hits` otherwise.
     """
-    wanted = patterns.select("pattern").where(F.col("pattern") != "").distinct()
-    return meet_grams(files, wanted, n).select("pattern", "file_id", "repo_name")
+    return hit_places(patterns, files, n).distinct()
 
 
 def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,8 +43,9 @@ def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
         F.col("pattern").alias("full"),
         F.size("words").alias("n"),
     )
-    single = meet_grams(files, keyed.where("n = 1"), 1)
-    paired = durable(meet_grams(files, keyed.where("n > 1"), PAIR, width=RUN_WORDS))
+    single = meet_grams(files, keyed.where("n = 1"), 1).distinct()
+    paired = meet_grams(files, keyed.where("n > 1"), PAIR, width=RUN_WORDS)
+    paired = durable(paired.distinct())
     long = paired.where(F.col("n") > RUN_WORDS)
     texts = with_words(file_texts(long, files), "content").select(
         "file_id", phrase(F.col("words")).alias("text")
@@ -69,23 +75,23 @@ def file_texts(hits: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
     return files.select("file_id", "content", *columns).join(wanted, "file_id", "left_semi")
 
 
-def capped(hits: DataFrame, limit: int = HITS_PER_PATTERN) -> DataFrame:
-    """The first `limit` hits of each pattern in file order, numbered from 1.
+def capped(places: DataFrame, limit: int = HITS_PER_PATTERN) -> DataFrame:
+    """The first `limit` files of each pattern in file order, numbered from 1.
 
-    The rank filter is applied before the shuffle as well, so a pattern found in a third of
-    all files sends at most `limit` rows per task.
+    Takes places, not files: a dense rank gives all places in a file the same number, and
+    Spark applies its limit before the shuffle as well. A pattern found in a third of all
+    files therefore sends only its first files from each task, and repeats go afterwards.
     """
     in_order = Window.partitionBy("pattern").orderBy("file_id")
-    return hits.withColumn("hit_no", F.row_number().over(in_order)).where(
-        F.col("hit_no") <= limit
-    )
+    numbered = places.withColumn("hit_no", F.dense_rank().over(in_order))
+    return numbered.where(F.col("hit_no") <= limit).distinct()
 
 
 def seed_hits(
     patterns: DataFrame, files: DataFrame, limit: int = HITS_PER_PATTERN
 ) -> DataFrame:
     """Capped hits of every pattern of every seed, in list order of patterns and hits."""
-    first = capped(pattern_hits(patterns, files), limit)
+    first = capped(hit_places(patterns, files), limit)
     return hot_key_join(patterns, first, "pattern", "inner", ["row_index"]).select(
         "row_index", "pattern_no", "pattern", "hit_no", "file_id", "repo_name"
     )
