@@ -8,7 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixhound.functions.grams import phrase, with_words
+from fixhound.functions.grams import (
+    SHINGLE_WORDS,
+    distinct_ngrams,
+    phrase,
+    with_words,
+)
 from fixhound.functions.text import (
     commit_url,
     empty_if_null,
@@ -19,7 +24,6 @@ from fixhound.functions.text import (
     snippet,
 )
 from fixhound.operators.search import file_texts
-from fixhound.operators.similarity import seed_share
 from fixhound.operators.spread import hot_key_join
 
 CANDIDATES_PER_SEED = 10
@@ -130,13 +134,19 @@ def similar_by_share(
     entries: DataFrame, seeds: DataFrame, files: DataFrame, min_share: float
 ) -> DataFrame:
     """`similar`: the first hit holds at least `min_share` of the seed's shingles."""
-    texts = file_texts(entries, files)
-    pairs = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
-    pairs = pairs.join(seeds.select("row_index", "code"), "row_index")
-    pairs = with_words(with_words(pairs, "content"), "code", "seed_words")
-    share = seed_share(F.col("seed_words"), F.col("words"))
-    return pairs.select(*entries.columns, share.alias("share")).withColumn(
-        "similar", F.coalesce(F.col("share") >= min_share, F.lit(False))
+    texts = with_words(file_texts(entries, files), "content").select(
+        "file_id", distinct_ngrams(F.col("words"), SHINGLE_WORDS).alias("file_shingles")
+    )
+    own = with_words(seeds.select("row_index", "code"), "code").select(
+        "row_index", distinct_ngrams(F.col("words"), SHINGLE_WORDS).alias("shingles")
+    )
+    joined = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
+    shared = F.size(F.array_intersect("shingles", "file_shingles"))
+    share = F.try_divide(shared, F.size("shingles"))
+    return (
+        joined.join(own, "row_index")
+        .select(*entries.columns, share.alias("share"))
+        .withColumn("similar", F.coalesce(F.col("share") >= min_share, F.lit(False)))
     )
 
 

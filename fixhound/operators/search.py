@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from fixhound.functions.grams import phrase, with_words
 from fixhound.operators.patterns import PAIR, meet_grams
-from fixhound.operators.spread import durable, fits_broadcast, hot_key_join
+from fixhound.operators.spread import (
+    durable,
+    fits_broadcast,
+    hot_key_join,
+    spread_scan,
+)
 
 HITS_PER_PATTERN = 10
 RUN_WORDS = 4
@@ -72,7 +77,8 @@ def file_texts(hits: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
     wanted = hits.select("file_id").distinct()
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
-    return files.select("file_id", "content", *columns).join(wanted, "file_id", "left_semi")
+    texts = spread_scan(files.select("file_id", "content", *columns))
+    return texts.join(wanted, "file_id", "left_semi")
 
 
 def capped(places: DataFrame, limit: int = HITS_PER_PATTERN) -> DataFrame:
