@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, piece_counts, token_files
+from . import bpe, piece_counts, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int, one: int) -> Column:
+    """Whether the CRC-32 of the id as text falls into fold `one` of `folds`; never null."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == one, F.lit(False))
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"))
 
@@ -25,8 +31,21 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~_fold(4, 2)))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        _fold(4, 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+        "passages",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_wavelet_files, op6_bpe_round_trip, op9_piece_counts)
+    f.__name__: f for f in (op4_wavelet_files, op6_bpe_round_trip, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}

@@ -110,6 +110,7 @@ class Tokens:
         with np.errstate(over="ignore"):
             if len(self.starts):
                 weighed = _VALUES[fold_case][data] * _power("radix", _RADIX, n)[:n]
+                self._weighed = weighed
                 self.hashes = mix(np.add.reduceat(weighed, self.starts) * _power("inverse", _INVERSE, n)[self.starts])
             else:
                 self.hashes = np.zeros(0, np.uint64)
@@ -124,6 +125,18 @@ class Tokens:
         last[cut] = self._solid[cut]
         return np.flatnonzero(last) + 1
 
+    def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first `size` bytes of the tokens that are longer, and which these are."""
+        where = np.flatnonzero(self.ends() - self.starts > size) if len(self.starts) else np.zeros(0, np.int64)
+        if not len(where):
+            return np.zeros(0, np.uint64), where
+        at = self.starts[where]
+        with np.errstate(over="ignore"):
+            total = self._weighed[at].copy()
+            for k in range(1, size):
+                total += self._weighed[at + k]
+            return mix(total * _power("inverse", _INVERSE, len(self.data))[at]), where
+
     def shingles(self, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Hash and row of every run of `words` tokens; a shorter text with a token has one run, all of it."""
         n = len(self.hashes)
