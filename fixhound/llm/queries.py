@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, piece_counts, token_files, toxicity
+from . import bpe, language, piece_counts, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def _fold(folds: int, one: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == one, F.lit(False))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~_fold(3, 1)))
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_wavelet_files, op6_bpe_round_trip, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}
