@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, piece_counts, token_files, toxicity
+from . import bpe, language, piece_counts, quality, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"))
 
 
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    judged = quality.judge(docs.select("doc_id", "text"), quality.references(docs))
+    return judged.drop("text")
+
+
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(_read(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}
