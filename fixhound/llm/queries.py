@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, piece_counts, quality, token_files, toxicity
+from . import bpe, decontaminate, language, piece_counts, quality, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _fold(folds: int, one: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == one, F.lit(False))
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = language.fit(docs.where(~_fold(3, 1)))
@@ -58,7 +62,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}

@@ -46,6 +46,11 @@ def _power(name: str, base: np.uint64, size: int) -> np.ndarray:
     return known
 
 
+def inverse_powers(size: int) -> np.ndarray:
+    """What a sum of weighed bytes is multiplied by, to make it the hash of a word that begins there."""
+    return _power("inverse", _INVERSE, size)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit over all others."""
     out = values.astype(np.uint64, copy=True)
