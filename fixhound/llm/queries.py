@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, piece_counts, quality, token_files, toxicity
+from . import bpe, decontaminate, dedup, language, piece_counts, quality, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(_read(spark, sf_dir, "documents"))
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     judged = quality.judge(docs.select("doc_id", "text"), quality.references(docs))
@@ -62,7 +66,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}
