@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, dedup, language, piece_counts, quality, token_files, toxicity
+from . import bpe, decontaminate, dedup, language, piece_counts, pitman_yor, quality, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", _fold(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    scored = pitman_yor.score(docs.select("doc_id", "text", (~_fold(7, 2)).alias("train")))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"))
 
@@ -66,7 +72,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op4_wavelet_files, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}

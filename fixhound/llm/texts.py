@@ -130,6 +130,11 @@ class Tokens:
         last[cut] = self._solid[cut]
         return np.flatnonzero(last) + 1
 
+    def folded(self, at: np.ndarray) -> np.ndarray:
+        """The bytes at these places, A to Z in lower case."""
+        byte = self.data[at]
+        return byte + np.where((byte >= 0x41) & (byte < 0x5B), np.uint8(0x20), np.uint8(0))
+
     def beginnings(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first `size` bytes of the tokens that are longer, and which these are."""
         where = np.flatnonzero(self.ends() - self.starts > size) if len(self.starts) else np.zeros(0, np.int64)
