@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, dedup, language, piece_counts, pitman_yor, quality, token_files, toxicity
+from . import bpe, decontaminate, dedup, language, pages, piece_counts, pitman_yor, quality, token_files, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_read(spark, sf_dir, "pages"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op5_page_texts, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
 }
 
 CHECKS: dict[str, str] = {}
