@@ -21,8 +21,10 @@ SURE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't far from every language's usual text."""
-    judged = quality.judge(docs, quality.references(docs))
-    return judged.where("kept").select(*docs.columns)
+    # the partition's number keeps the optimizer from moving the filter below the steps that make the
+    # verdict, where it would hold all of them once more for each time they are used
+    judged = quality.judge(docs, quality.references(docs)).withColumn("_part", F.spark_partition_id())
+    return judged.where(F.when(F.col("_part") >= 0, F.col("kept"))).select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
