@@ -8,9 +8,10 @@ its weights; the earliest of each coordinate is the signature. About K ln K + 2K
 for K coordinates, however long the text is; ranks are explored further where one stays empty.
 
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Documents
-that agree in a whole band meet in a bucket. In a bucket all are compared with its first document;
-what that leaves in different classes is compared across classes only, so a large group of near
-copies is never multiplied out. Every pair is checked exactly before it counts as a link.
+that agree in a whole band meet in a bucket. In a bucket all are compared with its first and its
+last document. Documents that still share a bucket with another class are compared across classes only,
+by their rarest shingles, so a large group of near copies is never multiplied out. Every pair is
+checked exactly before it counts as a link.
 """
 
 from __future__ import annotations
@@ -206,6 +207,28 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents with different labels that may be similar enough.
+
+    left: doc, n, sketch, label. Of two similar enough sets of elements, both in order of how many
+    documents have each, the rarest fifths have an element in common; so documents are brought
+    together by those only. What many documents share is not among them, unless it is most of a
+    text. Among the documents of an element, those of its main label meet only the others.
+    """
+    every = left.join(sets, "doc").select("doc", "n", "sketch", "label", F.explode("elements").alias("element"))
+    rare = every.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
+    sorted_ = every.join(rare, "element").groupBy("doc", "n", "sketch", "label").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
+    ends = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1
+    leading = sorted_.select("doc", "n", "sketch", "label", F.explode(F.slice("e", F.lit(1), ends.cast("int"))).alias("e")).where("e.df > 1")
+    leading = written.table(leading.select("doc", "n", "sketch", "label", F.col("e.element").alias("element")), "leading")
+    sizes = leading.groupBy("element", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("element").agg(F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    mixed = leading.join(main.select("element", F.col("m.label").alias("main")), "element")
+    x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
+    across = (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
+    return x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """`doc_id` and `class_id` (the least doc_id of its class) for every row of `docs` (doc_id, text).
 
@@ -217,23 +240,29 @@ def classes(docs: DataFrame) -> DataFrame:
     signed_docs = written.table(_signed_documents(docs), "signatures")
     texts = written.table(signed_docs.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("r")).select("digest", "r.*"), "distinct-texts")
     one = texts.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "sketch", F.explode("bands").alias("bucket"))
-    heads = one.groupBy("bucket").agg(F.min(F.struct("doc", "n", "sketch")).alias("h"), F.count(F.lit(1)).alias("members"))
-    met = written.table(one.join(heads.where("members > 1"), "bucket"), "buckets")
+    heads = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = written.table(one.join(heads, "bucket", "left_semi"), "buckets")
     wanted = met.select("doc").distinct()
     sets = written.table(_shingle_sets(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])), "shingle-sets")
-    first = met.alias("x").where((F.col("x.doc") != F.col("x.h.doc")) & _near("x", "x.h"))
-    links = written.table(_verified(first.select(F.col("x.h.doc").alias("a"), F.col("x.doc").alias("b")).distinct(), sets), "links")
-    labels = components(links)
-    # what is left: documents that share a bucket and are in different classes
-    placed = met.select("bucket", "doc", "n", "sketch").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    links = labels = None
+    for order in (F.min, F.max):
+        # each document against one of every bucket that it is in, unless both have a label already
+        head = order(F.struct("doc", "n", "sketch")).alias("h")
+        heads = met.groupBy("bucket").agg(head)
+        pairs = met.join(heads, "bucket").where(F.col("doc") != F.col("h.doc")).alias("x").where(_near("x", "x.h"))
+        pairs = pairs.select(F.least("x.h.doc", "x.doc").alias("a"), F.greatest("x.h.doc", "x.doc").alias("b")).distinct()
+        if labels is not None:
+            for side in ("a", "b"):
+                pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}")), side, "left")
+            pairs = pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        found = _verified(pairs, sets)
+        links = written.table(found if links is None else links.unionByName(found), "links")
+        labels = components(links)
+    placed = met.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     placed = written.table(placed, "placed")
-    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("bucket", F.col("m.label").alias("main"))
-    mixed = placed.join(main, "bucket")
-    x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
-    across = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
-    pairs = x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    more = written.table(_verified(pairs, sets), "links")
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    left = written.table(placed.join(mixed, "bucket", "left_semi").select("doc", "n", "sketch", "label").distinct(), "left")
+    more = written.table(_verified(_across(left, sets), sets), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = texts.select("digest", F.col("doc_id").alias("doc")).join(labels, "doc", "left").select("digest", F.coalesce("label", "doc").alias("class_id"))
