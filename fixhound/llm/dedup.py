@@ -238,7 +238,8 @@ def classes(docs: DataFrame) -> DataFrame:
     stay, in the class of their text. Repeated rows each give a row.
     """
     signed_docs = written.table(_signed_documents(docs), "signatures")
-    texts = written.table(signed_docs.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch", "bands")).alias("r")).select("digest", "r.*"), "distinct-texts")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n", "sketch", "bands")).alias("r")
+    texts = written.table(signed_docs.groupBy("digest").agg(first).select("digest", "r.doc_id", "r.n", "r.sketch", "r.bands"), "distinct-texts")
     one = texts.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "sketch", F.explode("bands").alias("bucket"))
     heads = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written.table(one.join(heads, "bucket", "left_semi"), "buckets")
