@@ -6,7 +6,7 @@ before joins, and every text is read whole.
 
 from __future__ import annotations
 
-from fixhound.catalog.queries import FIRST_SEEDS, MIN_SHARE, MIN_STARS
+from fixhound.catalog.queries import EARLIER_SHARE, FIRST_SEEDS, MIN_SHARE, MIN_STARS
 
 # Named parts, put before a query in the order given.
 PARTS = {
@@ -19,12 +19,26 @@ PARTS = {
                lang || '/' || doc_id AS file_path,
                regexp_extract_all(lower(text), '\S+') AS w
         FROM documents)""",
-    "patterns": """patterns AS (
-        SELECT row_index, i AS pattern_no, w[i] || ' ' || w[i + 1] AS pattern
-        FROM (SELECT row_index, w, unnest(range(1, least(6, len(w)))) AS i FROM seeds))""",
-    "pairs": """pairs AS (
+    "pairs": """pairs AS MATERIALIZED (
         SELECT DISTINCT file_id, repo_name, w[i] || ' ' || w[i + 1] AS pattern
         FROM (SELECT file_id, repo_name, w, unnest(range(1, len(w))) AS i FROM files))""",
+    "patterns": """own AS (
+        SELECT row_index, pattern, min(i) AS place FROM (
+          SELECT row_index, i, w[i] || ' ' || w[i + 1] AS pattern
+          FROM (SELECT row_index, w, unnest(range(1, len(w))) AS i FROM seeds))
+        GROUP BY ALL),
+      rare AS MATERIALIZED (
+        SELECT * FROM (
+          SELECT row_index,
+            row_number() OVER (PARTITION BY row_index ORDER BY n_files, place) AS pattern_no,
+            pattern, n_files
+          FROM own JOIN (SELECT pattern, count(*) AS n_files FROM pairs
+                         WHERE pattern IN (SELECT pattern FROM own) GROUP BY pattern)
+          USING (pattern))
+        WHERE pattern_no <= 5),
+      patterns AS (
+        SELECT row_index, pattern_no, pattern FROM rare
+        UNION ALL SELECT row_index, 1, w[1] FROM seeds WHERE len(w) = 1)""",
     "hits": """hits AS (
         SELECT pattern, file_id, repo_name,
                row_number() OVER (PARTITION BY pattern ORDER BY file_id) AS hit_no
@@ -50,17 +64,17 @@ PARTS = {
               FROM capped)
         JOIN repos USING (repo_name)
         WHERE n = 1)""",
+    "known_entries": f"""known_entries AS (
+        SELECT row_index, repo_name, pattern_no, hit_no, file_id, n_hits,
+               CASE WHEN stars >= {MIN_STARS} THEN stars ELSE 0 END AS stars
+        FROM entries WHERE NOT (stars >= {MIN_STARS} AND flagged IS TRUE))""",
     "listed": """listed AS (
         SELECT * EXCLUDE (flagged) FROM (
           SELECT *, row_number() OVER (PARTITION BY row_index
                                        ORDER BY stars DESC, pattern_no, hit_no) AS rank
           FROM entries WHERE flagged IS NOT TRUE)
         WHERE rank <= 10)""",
-    "accepted": """accepted AS (
-        SELECT * FROM listed l WHERE EXISTS (
-          SELECT 1 FROM patterns p JOIN pairs g USING (pattern)
-          WHERE p.row_index = l.row_index AND p.pattern_no <= 3
-            AND g.file_id = l.file_id))""",
+    "accepted": "accepted AS (SELECT * EXCLUDE (share) FROM by_share)",
     "shingles": """seed_shingles AS (
         SELECT DISTINCT row_index, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS shingle
         FROM (SELECT row_index, w, unnest(range(1, len(w) - 1)) AS i FROM seeds)),
@@ -90,10 +104,12 @@ PARTS = {
         FROM seeds LEFT JOIN matches USING (row_index) GROUP BY row_index)""",
 }
 
-_FOUND = ("seeds", "files", "patterns", "pairs", "hits", "capped")
+_PATTERNS = ("seeds", "files", "pairs", "patterns")
+_FOUND = (*_PATTERNS, "hits", "capped")
 _ENTRIES = (*_FOUND, "repos", "entries")
 _LISTED = (*_ENTRIES, "listed")
-_MATCHES = (*_LISTED, "accepted", "matches")
+_ACCEPTED = (*_LISTED, "shingles", "by_share", "accepted")
+_MATCHES = (*_ACCEPTED, "matches")
 
 
 def _with(parts: tuple[str, ...], query: str) -> str:
@@ -153,7 +169,7 @@ CHECKS: dict[str, str] = {
         concat(nullif(o_orderpriority, '1-URGENT'), '/commit/', o_orderkey) AS commit_url
       FROM orders""",
     "pattern_qualified": _with(
-        ("seeds", "patterns"),
+        _PATTERNS,
         """SELECT row_index, pattern_no, CASE pattern_no
             WHEN 2 THEN pattern || ' Language:Python'
             ELSE pattern || ' language:python' END AS query
@@ -194,34 +210,24 @@ CHECKS: dict[str, str] = {
           WHERE length(cells.found) <= 10""",
     ),
     "seed_patterns": _with(
-        ("seeds", "patterns"), "SELECT row_index, pattern_no, pattern FROM patterns"
+        _PATTERNS, "SELECT row_index, pattern_no, pattern FROM patterns"
     ),
     "seed_patterns_rare": _with(
-        ("seeds", "files", "pairs"),
-        """, own AS (
-            SELECT row_index, pattern, min(i) AS place FROM (
-              SELECT row_index, i, w[i] || ' ' || w[i + 1] AS pattern
-              FROM (SELECT row_index, w, unnest(range(1, len(w))) AS i FROM seeds))
-            GROUP BY ALL),
-          counts AS (SELECT pattern, count(*) AS n_files FROM pairs GROUP BY pattern)
-          SELECT * FROM (
-            SELECT row_index,
-              row_number() OVER (PARTITION BY row_index ORDER BY n_files, place) AS pattern_no,
-              pattern, n_files
-            FROM own JOIN counts USING (pattern))
-          WHERE pattern_no <= 5""",
+        _PATTERNS, "SELECT row_index, pattern_no, pattern, n_files FROM rare"
     ),
     "pattern_hits": _with(_FOUND[:-1], "SELECT pattern, file_id, repo_name FROM hits"),
     "phrase_hits": _with(
         ("seeds", "files"),
         """, given AS (
             SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS pattern
-            FROM (SELECT w, n, unnest([1, 2]) AS i FROM seeds, (SELECT unnest([1, 2, 4, 6]) AS n))
-            WHERE i + n - 1 <= len(w)),
-          texts AS (
-            SELECT file_id, repo_name, ' ' || array_to_string(w, ' ') || ' ' AS t FROM files)
-          SELECT pattern, file_id, repo_name
-          FROM given JOIN texts ON contains(t, ' ' || pattern || ' ')""",
+            FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM seeds, (SELECT unnest([4, 6]) AS n))),
+          runs AS (
+            SELECT file_id, repo_name, array_to_string(w[i:i + n - 1], ' ') AS pattern
+            FROM (SELECT file_id, repo_name, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM files, (SELECT unnest([4, 6]) AS n)))
+          SELECT DISTINCT pattern, file_id, repo_name
+          FROM runs WHERE pattern IN (SELECT pattern FROM given)""",
     ),
     "pattern_hits_capped": _with(_FOUND, "SELECT * FROM capped"),
     "hits_union_all": _with(
@@ -257,6 +263,15 @@ CHECKS: dict[str, str] = {
             substring(readme, 1, 2000) AS readme FROM readmes""",
     ),
     "repos_min_stars": _with(("repos",), f"SELECT * FROM repos WHERE stars >= {MIN_STARS}"),
+    "repos_fork_archive": _with(
+        ("repos",),
+        """SELECT *, CASE WHEN stars % 3 = 0 THEN length(repo_name) % 2 = 0 END AS fork,
+            CASE WHEN stars % 2 = 0 THEN stars % 5 = 0 END AS archived
+          FROM repos
+          WHERE NOT coalesce(stars % 3 = 0 AND length(repo_name) % 2 = 0, false)
+            AND NOT coalesce(stars % 2 = 0 AND stars % 5 = 0, false)""",
+    ),
+    "repos_unknown_kept": _with((*_ENTRIES, "known_entries"), "SELECT * FROM known_entries"),
     "repos_top_stars": _with(
         ("repos",), "SELECT * FROM repos ORDER BY stars DESC, repo_name LIMIT 5"
     ),
@@ -269,7 +284,7 @@ CHECKS: dict[str, str] = {
             (SELECT repo_name FROM readmes WHERE length(readme) > 2000)""",
     ),
     "candidates_top10": _with(_LISTED, "SELECT * FROM listed"),
-    "validated_candidates": _with((*_LISTED, "accepted"), "SELECT * FROM accepted"),
+    "validated_candidates": _with(_ACCEPTED, "SELECT * FROM accepted"),
     "validated_by_share": _with((*_LISTED, "shingles", "by_share"), "SELECT * FROM by_share"),
     "validated_by_answers": _with(
         _LISTED,
@@ -324,15 +339,16 @@ CHECKS: dict[str, str] = {
             ON e.user_id = file_id AND n = 1""",
     ),
     "run_summary": _with(
-        (*_MATCHES, "shingles", "by_share"),
-        """SELECT count(*) AS total, count(*) AS processed,
+        _MATCHES,
+        f"""SELECT count(*) AS total, count(*) AS processed,
             count_if(done) AS skipped, count_if(NOT done AND hit) AS updated,
             count_if(NOT done AND NOT hit) AS none_found
-          FROM (SELECT row_index IN (SELECT row_index FROM by_share) AS done,
+          FROM (SELECT row_index IN (SELECT row_index FROM by_share
+                                     WHERE share >= {EARLIER_SHARE}) AS done,
                        row_index IN (SELECT row_index FROM matches) AS hit FROM seeds)""",
     ),
     "seed_funnel": _with(
-        (*_LISTED, "accepted"),
+        _ACCEPTED,
         """SELECT row_index,
             (SELECT count(*) FROM entries e WHERE e.row_index = s.row_index) AS found,
             (SELECT count(*) FROM entries e
@@ -342,13 +358,13 @@ CHECKS: dict[str, str] = {
           FROM seeds s""",
     ),
     "incremental_run": _with(
-        (*_MATCHES, "cells", "shingles", "by_share"),
-        """, earlier AS (
+        (*_MATCHES, "cells"),
+        f""", earlier AS (
             SELECT row_index, string_agg(
               repo_name || ' (' || stars || ' stars) | https://github.com/' || repo_name,
               chr(10) ORDER BY rank) AS found
             FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY rank) AS place
-                  FROM by_share)
+                  FROM by_share WHERE share >= {EARLIER_SHARE})
             WHERE place <= 5 GROUP BY row_index)
           SELECT row_index, cve_id, coalesce(earlier.found, cells.found) AS found
           FROM seeds JOIN cells USING (row_index) LEFT JOIN earlier USING (row_index)""",

@@ -21,9 +21,11 @@ from fixhound.sources.tables import register_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MIN_SHARE = 0.5
+MIN_SHARE = repo.MIN_SHARE
+EARLIER_SHARE = 0.9
 MIN_STARS = 110_000
 FIRST_SEEDS = 10
+PHRASE_WORDS = (4, 6)
 FENCE = "```"
 
 
@@ -85,7 +87,7 @@ def pattern_qualified(spark, sf_dir):
     given = F.when(
         F.col("pattern_no") == 2, F.concat("pattern", F.lit(" Language:Python"))
     ).otherwise(F.col("pattern"))
-    return pat.seed_patterns(t.seeds(spark, sf_dir)).select(
+    return t.inputs(spark, sf_dir).patterns().select(
         "row_index", "pattern_no", tx.qualified(given).alias("query")
     )
 
@@ -201,7 +203,7 @@ def pending_seeds(spark, sf_dir):
 
 @query
 def seed_patterns(spark, sf_dir):
-    return pat.seed_patterns(t.seeds(spark, sf_dir))
+    return t.inputs(spark, sf_dir).patterns()
 
 
 @query
@@ -217,10 +219,10 @@ def pattern_hits(spark, sf_dir):
 
 @query
 def phrase_hits(spark, sf_dir):
-    """Runs of one to six words looked up in whole texts."""
+    """All runs of four and six words of the seeds, looked up in whole texts."""
     seeds = t.seeds(spark, sf_dir)
-    given = search.union_hits(*[pat.seed_patterns(seeds, limit=2, n=n) for n in (1, 2, 4, 6)])
-    return search.phrase_hits(given, t.files(spark, sf_dir))
+    given = search.union_hits(*[pat.seed_phrases(seeds, n) for n in PHRASE_WORDS])
+    return search.pattern_hits(given, t.files(spark, sf_dir))
 
 
 @query
@@ -279,6 +281,27 @@ def repos_min_stars(spark, sf_dir):
     return repo.star_filter(t.repos(spark, sf_dir), min_stars=MIN_STARS)
 
 
+@query
+def repos_fork_archive(spark, sf_dir):
+    """Forks and archived repositories go; what isn't known of one never drops it."""
+    name = F.length("repo_name")
+    marked = t.repos(spark, sf_dir).select(
+        "*",
+        F.when(F.col("stars") % 3 == 0, name % 2 == 0).alias("fork"),
+        F.when(F.col("stars") % 2 == 0, F.col("stars") % 5 == 0).alias("archived"),
+    )
+    return repo.star_filter(marked, exclude_forks=True, exclude_archived=True)
+
+
+@query
+def repos_unknown_kept(spark, sf_dir):
+    """Only repositories with many stars are known; hits in the others stay."""
+    inputs = t.inputs(spark, sf_dir)
+    known = repo.star_filter(inputs.repos, min_stars=MIN_STARS)
+    given = matching.Inputs(inputs.seeds, inputs.files, known, inputs.commits)
+    return repo.drop_flagged(matching.candidates(given)).drop("flagged")
+
+
 @query
 def repos_top_stars(spark, sf_dir):
     return repo.top_starred(t.repos(spark, sf_dir), repo.MATCHES_PER_SEED)
@@ -305,14 +328,12 @@ def candidates_top10(spark, sf_dir):
     return matching.shortlist(matching.candidates(t.inputs(spark, sf_dir))).drop("flagged")
 
 
-def _compared(spark, sf_dir, rule: str) -> DataFrame:
+def _compared(spark, sf_dir, min_share: float | None = None) -> DataFrame:
+    """The compared candidates, by share or else by answers."""
     inputs = t.inputs(spark, sf_dir)
-    patterns = inputs.patterns()
-    listed = matching.shortlist(matching.candidates(inputs, patterns)).drop("flagged")
-    if rule == "patterns":
-        return repo.similar_by_patterns(listed, patterns, inputs.files)
-    if rule == "share":
-        return repo.similar_by_share(listed, inputs.seeds, inputs.files, MIN_SHARE)
+    listed = matching.shortlist(matching.candidates(inputs)).drop("flagged")
+    if min_share is not None:
+        return repo.similar_by_share(listed, inputs.seeds, inputs.files, min_share)
     labels = t.load(spark, sf_dir, "labels")
     answer = F.when(F.col("quality") == 1, "YES").otherwise("NO")
     answers = labels.select(F.col("doc_id").alias("file_id"), answer.alias("answer"))
@@ -321,17 +342,17 @@ def _compared(spark, sf_dir, rule: str) -> DataFrame:
 
 @query
 def validated_candidates(spark, sf_dir):
-    return _compared(spark, sf_dir, "patterns").where("similar").drop("similar")
+    return _compared(spark, sf_dir, MIN_SHARE).where("similar").drop("share", "similar")
 
 
 @query
 def validated_by_share(spark, sf_dir):
-    return _compared(spark, sf_dir, "share").where("similar").drop("similar")
+    return _compared(spark, sf_dir, MIN_SHARE).where("similar").drop("similar")
 
 
 @query
 def validated_by_answers(spark, sf_dir):
-    return _compared(spark, sf_dir, "answers").where("similar").drop("similar")
+    return _compared(spark, sf_dir).where("similar").drop("similar")
 
 
 @query
@@ -372,7 +393,7 @@ def similar_pairs(spark, sf_dir):
 
 @query
 def matches_top5(spark, sf_dir):
-    return matching.matches(t.inputs(spark, sf_dir)).drop("flagged", "similar")
+    return matching.matches(t.inputs(spark, sf_dir)).drop("flagged", "share", "similar")
 
 
 def _published_cells(spark, sf_dir):
@@ -409,10 +430,10 @@ def seed_funnel(spark, sf_dir):
 
 
 def _resumed(spark, sf_dir):
-    """A sheet whose seeds partly have results by the share rule, and its next run."""
+    """A sheet whose seeds partly have results by a stricter share, and its next run."""
     inputs = t.inputs(spark, sf_dir)
     before = repo.best_per_seed(
-        _compared(spark, sf_dir, "share").where("similar"), repo.MATCHES_PER_SEED
+        _compared(spark, sf_dir, EARLIER_SHARE).where("similar"), repo.MATCHES_PER_SEED
     ).withColumn("url", tx.repo_url(F.col("repo_name")))
     done = durable(sheet.update_found(inputs.seeds, publish.summary_cells(inputs.seeds, before)))
     todo = sheet.pending(done)

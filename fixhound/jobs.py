@@ -19,6 +19,7 @@ from fixhound.streaming.incremental import run_batch
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="fixhound")
+    parser.add_argument("--checkpoint", help="folder that driver and executors share")
     jobs = parser.add_subparsers(dest="job", required=True)
     fix = jobs.add_parser("fix-report", help="join the five tables and write the report")
     fix.add_argument("--tables", required=True, help="folder with the five tables")
@@ -36,6 +37,8 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     spark = get_session()
+    if args.checkpoint:
+        spark.sparkContext.setCheckpointDir(args.checkpoint)
     if args.job == "fix-report":
         tables = read_tables(spark, args.tables, FIX_TABLES)
         if args.sql:

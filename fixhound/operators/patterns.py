@@ -69,12 +69,22 @@ def captured_patterns(replies: DataFrame) -> DataFrame:
     return pattern_rows(with_pattern_list(replies))
 
 
-def seed_patterns(seeds: DataFrame, limit: int = MAX_PATTERNS, n: int = PAIR) -> DataFrame:
-    """The first `limit` word n-grams of a seed."""
-    split = with_words(seeds.select("row_index", "code"), "code")
-    return pattern_rows(
-        split.select("row_index", F.slice(ngrams(F.col("words"), n), 1, limit).alias("patterns"))
+def seed_patterns(seeds: DataFrame, files: DataFrame, limit: int = MAX_PATTERNS) -> DataFrame:
+    """What a seed is searched by: the rarest word pairs of its whole text, or its only word.
+
+    Headers and licenses that many files hold are thus passed over, wherever they stand.
+    """
+    words = with_words(seeds.select("row_index", "code"), "code").where(F.size("words") == 1)
+    single = words.select(
+        "row_index", F.lit(1).alias("pattern_no"), F.get("words", F.lit(0)).alias("pattern")
     )
+    return rare_seed_patterns(seeds, files, limit).drop("n_files").unionByName(single)
+
+
+def seed_phrases(seeds: DataFrame, n: int) -> DataFrame:
+    """All runs of n words of a seed, in reading order."""
+    split = with_words(seeds.select("row_index", "code"), "code")
+    return pattern_rows(split.select("row_index", ngrams(F.col("words"), n).alias("patterns")))
 
 
 def meet_grams(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from fixhound.functions.grams import (
     SHINGLE_WORDS,
     distinct_ngrams,
-    phrase,
     with_words,
 )
 from fixhound.functions.text import (
@@ -24,11 +23,12 @@ from fixhound.functions.text import (
     snippet,
 )
 from fixhound.operators.search import file_texts
-from fixhound.operators.spread import hot_key_join
+from fixhound.operators.spread import fits_broadcast, hot_key_join
 
 CANDIDATES_PER_SEED = 10
 MATCHES_PER_SEED = 5
-RULE_PATTERNS = 3
+# The share of a seed's shingles that a similar file holds at least.
+MIN_SHARE = 0.5
 
 
 def group_hits(hits: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def hit_samples(hits: DataFrame, files: DataFrame, url: Column) -> DataFrame:
 
 
 def with_repository(entries: DataFrame, repos: DataFrame) -> DataFrame:
-    """Attach what is known of each repository."""
-    return hot_key_join(entries, repos, "repo_name", "inner", ["row_index"])
+    """Attach what is known of each repository; an unknown one stays, with no stars."""
+    joined = hot_key_join(entries, repos, "repo_name", "left", ["row_index"])
+    return joined.withColumn("stars", F.coalesce("stars", F.lit(0)))
 
 
 def with_readme(repos: DataFrame, readmes: DataFrame) -> DataFrame:
@@ -78,11 +79,12 @@ def star_filter(
     exclude_forks: bool = False,
     exclude_archived: bool = False,
 ) -> DataFrame:
-    keep = F.col("stars") >= min_stars
+    """Repositories with enough stars; null counts as no stars, no fork and not archived."""
+    keep = F.coalesce("stars", F.lit(0)) >= min_stars
     if exclude_forks:
-        keep &= ~F.col("fork")
+        keep &= ~F.coalesce("fork", F.lit(False))
     if exclude_archived:
-        keep &= ~F.col("archived")
+        keep &= ~F.coalesce("archived", F.lit(False))
     return repos.where(keep)
 
 
@@ -107,46 +109,34 @@ def best_per_seed(entries: DataFrame, limit: int, rank: str = "rank") -> DataFra
     return entries.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= limit)
 
 
-def similar_by_patterns(
-    entries: DataFrame, patterns: DataFrame, files: DataFrame, leading: int = RULE_PATTERNS
+def similar_by_share(
+    entries: DataFrame, seeds: DataFrame, files: DataFrame, min_share: float = MIN_SHARE
 ) -> DataFrame:
-    """`similar`: the first hit holds at least one of the seed's leading patterns.
+    """`similar`: the first hit holds at least `min_share` of the shingles of the whole seed.
 
-    `entries` must be durable, as for the other rules. A file's words are put together once,
-    however many seeds have it as a first hit.
+    `entries` must be durable, as for the other rule. The seeds' shingles join the narrow
+    entries first. Both go to the scan of the texts if they are small; otherwise shingles of
+    files meet them in one shuffle. Seeds without a shingle, of one or two words, are similar
+    to their hits: these were found by all their words.
     """
-    phrases = (
-        patterns.where(F.col("pattern_no") <= leading)
-        .groupBy("row_index")
-        .agg(F.collect_list(F.concat(F.lit(" "), "pattern", F.lit(" "))).alias("phrases"))
-    )
-    texts = with_words(file_texts(entries, files), "content").select(
-        "file_id", phrase(F.col("words")).alias("text")
-    )
-    joined = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
-    held = F.exists("phrases", lambda p: F.col("text").contains(p))
-    return joined.join(phrases, "row_index", "left").select(
-        *entries.columns, F.coalesce(held, F.lit(False)).alias("similar")
-    )
-
-
-def similar_by_share(
-    entries: DataFrame, seeds: DataFrame, files: DataFrame, min_share: float
-) -> DataFrame:
-    """`similar`: the first hit holds at least `min_share` of the seed's shingles."""
     texts = with_words(file_texts(entries, files), "content").select(
         "file_id", distinct_ngrams(F.col("words"), SHINGLE_WORDS).alias("file_shingles")
     )
     own = with_words(seeds.select("row_index", "code"), "code").select(
         "row_index", distinct_ngrams(F.col("words"), SHINGLE_WORDS).alias("shingles")
     )
-    joined = hot_key_join(entries, texts, "file_id", "inner", ["row_index", "repo_name"])
+    wanted = entries.join(own, "row_index")
+    length = wanted.select(F.array_join("shingles", " ").alias("text"))
+    if fits_broadcast(length, "text"):
+        joined = texts.join(F.broadcast(wanted), "file_id")
+    else:
+        spread_by = ["row_index", "repo_name"]
+        joined = hot_key_join(wanted, texts, "file_id", "inner", spread_by, sample=entries)
     shared = F.size(F.array_intersect("shingles", "file_shingles"))
-    share = F.try_divide(shared, F.size("shingles"))
-    return (
-        joined.join(own, "row_index")
-        .select(*entries.columns, share.alias("share"))
-        .withColumn("similar", F.coalesce(F.col("share") >= min_share, F.lit(False)))
+    whole = F.when(F.size("shingles") == 0, F.lit(1.0))
+    share = F.coalesce(whole, F.try_divide(shared, F.size("shingles")))
+    return joined.select(*entries.columns, share.alias("share")).withColumn(
+        "similar", F.coalesce(F.col("share") >= min_share, F.lit(False))
     )
 
 
@@ -166,8 +156,14 @@ def latest_commits(commits: DataFrame) -> DataFrame:
 def with_commit(
     entries: DataFrame, commits: DataFrame, sample: DataFrame | None = None
 ) -> DataFrame:
-    """`commit_sha` and `commit_url` of the first hit; null for a file without commits."""
-    newest = latest_commits(commits)
+    """`commit_sha` and `commit_url` of the first hit; null for a file without commits.
+
+    Commits of other files are dropped before the newest are looked for.
+    """
+    wanted = (entries if sample is None else sample).select("file_id").distinct()
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    newest = latest_commits(commits.join(wanted, "file_id", "left_semi"))
     spread_by = ["row_index", "repo_name"]
     joined = hot_key_join(entries, newest, "file_id", "left", spread_by, sample=sample)
     return joined.withColumnRenamed("sha", "commit_sha").withColumn(

@@ -15,32 +15,19 @@ from fixhound.operators.spread import (
     durable,
     fits_broadcast,
     hot_key_join,
-    spread_scan,
 )
 
 HITS_PER_PATTERN = 10
 RUN_WORDS = 4
 
 
-def hit_places(patterns: DataFrame, files: DataFrame, n: int = PAIR) -> DataFrame:
-    """Places where a pattern of n words occurs: `pattern, file_id, repo_name`."""
-    wanted = patterns.select("pattern").where(F.col("pattern") != "").distinct()
-    return meet_grams(files, wanted, n).select("pattern", "file_id", "repo_name")
+def hit_places(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """Places where a pattern occurs: `pattern, file_id, repo_name`.
 
-
-def pattern_hits(patterns: DataFrame, files: DataFrame, n: int = PAIR) -> DataFrame:
-    """Files that hold a pattern: `pattern, file_id, repo_name`, once per pair.
-
-    Every pattern must have n words; see `phrase_hits` otherwise.
-    """
-    return hit_places(patterns, files, n).distinct()
-
-
-def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
-    """Like `pattern_hits` for phrases of any length.
-
-    Phrases are looked up by their first two words, and the next two are compared on the
-    spot. Only those that go on are compared with the words of the file.
+    Patterns have any number of words in any case. They are looked up by their first two
+    words, and the next two are compared on the spot. Only those that go on are compared
+    with the words of the file; they come once per file. The lengths at hand are asked for
+    first, so the corpus is read for those only.
     """
     split = with_words(patterns.select("pattern").distinct(), "pattern")
     keyed = split.select(
@@ -48,8 +35,26 @@ def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
         F.col("pattern").alias("full"),
         F.size("words").alias("n"),
     )
-    single = meet_grams(files, keyed.where("n = 1"), 1).distinct()
-    paired = meet_grams(files, keyed.where("n > 1"), PAIR, width=RUN_WORDS)
+    singles, longest = keyed.agg(F.count_if(F.col("n") == 1), F.max("n")).first()
+    parts = []
+    if singles:
+        parts.append(meet_grams(files, keyed.where("n = 1"), 1))
+    if not singles or longest > 1:
+        width = min(RUN_WORDS, max(PAIR, longest or 0))
+        paired = meet_grams(files, keyed.where("n > 1"), PAIR, width=width)
+        parts += _checked_to_the_end(paired, files) if (longest or 0) > RUN_WORDS else [paired]
+    return union_hits(
+        *[p.select(F.col("full").alias("pattern"), "file_id", "repo_name") for p in parts]
+    )
+
+
+def pattern_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that hold a pattern: `pattern, file_id, repo_name`, once per pair."""
+    return hit_places(patterns, files).distinct()
+
+
+def _checked_to_the_end(paired: DataFrame, files: DataFrame) -> list[DataFrame]:
+    """Hits by the first words whose pattern the file holds to its last word."""
     paired = durable(paired.distinct())
     long = paired.where(F.col("n") > RUN_WORDS)
     texts = with_words(file_texts(long, files), "content").select(
@@ -57,15 +62,7 @@ def phrase_hits(patterns: DataFrame, files: DataFrame) -> DataFrame:
     )
     whole = F.concat(F.lit(" "), "pattern", F.lit(" "))
     checked = hot_key_join(long, texts, "file_id", "inner", ["full"])
-    exact = (
-        single,
-        paired.where(F.col("n") <= RUN_WORDS),
-        checked.where(F.col("text").contains(whole)),
-    )
-    named = [
-        part.select(F.col("full").alias("pattern"), "file_id", "repo_name") for part in exact
-    ]
-    return union_hits(*named)
+    return [paired.where(F.col("n") <= RUN_WORDS), checked.where(F.col("text").contains(whole))]
 
 
 def file_texts(hits: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
@@ -77,8 +74,7 @@ def file_texts(hits: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
     wanted = hits.select("file_id").distinct()
     if fits_broadcast(wanted):
         wanted = F.broadcast(wanted)
-    texts = spread_scan(files.select("file_id", "content", *columns))
-    return texts.join(wanted, "file_id", "left_semi")
+    return files.select("file_id", "content", *columns).join(wanted, "file_id", "left_semi")
 
 
 def capped(places: DataFrame, limit: int = HITS_PER_PATTERN) -> DataFrame:

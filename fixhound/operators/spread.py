@@ -16,6 +16,8 @@ HEAVY_SHARE = 0.01
 SALTS = 64
 # With fewer rows than this, one task can take all of them, and no key is heavy.
 SPREAD_FROM_ROWS = 1_000_000
+# A table above this size is never moved just to use more cores.
+SPREAD_SCAN_BYTES = 256 << 20
 _SKETCH_ITEMS = 1024
 _SKETCH_GROUPS = 64
 
@@ -93,10 +95,14 @@ def spread_join(
 
 
 def spread_scan(scan: DataFrame) -> DataFrame:
-    """Rows of a table that has fewer input splits than there are cores, over all cores.
+    """Rows of a small table that has fewer input splits than cores, over all cores.
 
-    A large table has more splits than that and is left as it is stored.
+    Any other table is left as it is stored: no large amount of text is ever moved for
+    this. The size is Spark's own estimate, which needs no job.
     """
+    estimate = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if estimate > SPREAD_SCAN_BYTES:
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
@@ -112,5 +118,12 @@ def durable(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fixhound-"))
+        context.setCheckpointDir(shared or own_folder(context.master))
     return df.checkpoint()
+
+
+def own_folder(master: str) -> str:
+    """A folder of this machine, for sessions that have no other one."""
+    if not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="fixhound-")

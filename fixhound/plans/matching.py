@@ -1,7 +1,7 @@
 """Matching of all seeds against a corpus, as one job.
 
-The corpus is read for the hits, and again only for the texts of first hits. The capped
-hits are made durable in between; everything after them grows with the seeds.
+The corpus is read to count the seeds' word pairs, for the hits, and for the texts of first
+hits. Patterns and capped hits are made durable in between; all after them grows with the seeds.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ class Inputs:
     commits: DataFrame
 
     def patterns(self) -> DataFrame:
-        return seed_patterns(has_code(self.seeds))
+        return durable(seed_patterns(has_code(self.seeds), self.files))
 
 
 def candidates(inputs: Inputs, patterns: DataFrame | None = None) -> DataFrame:
@@ -48,19 +48,17 @@ def top_matches(compared: DataFrame) -> DataFrame:
     return repo.best_per_seed(compared.where("similar"), repo.MATCHES_PER_SEED)
 
 
-def matches(inputs: Inputs) -> DataFrame:
-    """At most five similar repositories per seed."""
-    patterns = inputs.patterns()
-    listed = shortlist(candidates(inputs, patterns))
-    return top_matches(repo.similar_by_patterns(listed, patterns, inputs.files))
+def matches(inputs: Inputs, min_share: float = repo.MIN_SHARE) -> DataFrame:
+    """At most five repositories per seed whose first hit holds `min_share` of its shingles."""
+    listed = shortlist(candidates(inputs))
+    return top_matches(repo.similar_by_share(listed, inputs.seeds, inputs.files, min_share))
 
 
-def funnel(inputs: Inputs) -> DataFrame:
+def funnel(inputs: Inputs, min_share: float = repo.MIN_SHARE) -> DataFrame:
     """Repositories left per seed after each stage, from one pass over the candidates."""
-    patterns = inputs.patterns()
-    entries = durable(candidates(inputs, patterns))
+    entries = durable(candidates(inputs))
     listed = shortlist(entries)
-    compared = repo.similar_by_patterns(listed, patterns, inputs.files)
+    compared = repo.similar_by_share(listed, inputs.seeds, inputs.files, min_share)
     stages = entries.groupBy("row_index").agg(
         F.count("*").alias("found"),
         F.count_if(~F.coalesce("flagged", F.lit(False))).alias("kept"),

@@ -13,9 +13,6 @@ from fixhound.plans.publish import detail_rows, summary_cells
 from fixhound.schemas import SEEDS
 from fixhound.sources.snapshots import SheetStore, append_details
 
-# Fixed value: files of seeds taken into one part of a run.
-SAVE_EVERY = 5
-
 
 def match_results(inputs: Inputs) -> DataFrame:
     """The published fields of all matches, computed once."""
@@ -43,10 +40,12 @@ def stream_seeds(
     out_path: str,
     checkpoint_path: str,
     inputs: Inputs,
-    files_per_part: int = SAVE_EVERY,
+    files_per_part: int | None = None,
 ) -> StreamingQuery:
     """Match seed files as they arrive; stop when all present ones are done.
 
+    All waiting files are one part, which reads the corpus once for all its seeds;
+    `files_per_part` makes parts smaller at the price of a pass over the corpus for each.
     Finished files are remembered in the checkpoint. A part that is repeated after a
     failure overwrites its own output, because that is keyed by the batch number.
     """
@@ -58,10 +57,11 @@ def stream_seeds(
         cells = summary_cells(todo, found)
         cells.write.mode("overwrite").parquet(f"{out_path}/cells/run={batch}")
 
+    reader = spark.readStream.schema(SEEDS)
+    if files_per_part is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_part)
     return (
-        spark.readStream.schema(SEEDS)
-        .option("maxFilesPerTrigger", files_per_part)
-        .parquet(seeds_path)
+        reader.parquet(seeds_path)
         .writeStream.foreachBatch(publish)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)

@@ -33,9 +33,9 @@ def whole_plans(monkeypatch):
         monkeypatch.setattr(module, "durable", lambda df: df)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_cross_join_and_no_python(spark, whole_plans, name):
-    plan = plan_of(entry.queries()[name](spark, SF_DIR))
+    plan = plan_of(catalog.QUERIES[name](spark, SF_DIR))
     assert not BANNED.findall(plan)
 
 
@@ -58,6 +58,24 @@ def test_large_pattern_lists_are_salted(spark, monkeypatch):
     assert "_salt" in plan_of(joined)
 
 
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        spread.own_folder("yarn")
+
+
+def test_large_tables_are_not_moved_to_use_more_cores(spark, monkeypatch):
+    files = t.files(spark, SF_DIR)
+    assert "Exchange" in plan_of(spread.spread_scan(files))
+    monkeypatch.setattr(spread, "SPREAD_SCAN_BYTES", 0)
+    assert "Exchange" not in plan_of(spread.spread_scan(files))
+
+
+def test_compared_texts_stay_in_the_scan(spark):
+    plan = plan_of(catalog.QUERIES["validated_by_share"](spark, SF_DIR))
+    assert "BroadcastHashJoin" in plan
+    assert not re.search(r"Exchange\nInput \[\d+\]: \[[^\]]*(content|words|file_shingles)", plan)
+
+
 def test_previews_need_no_full_sort(spark):
     for name in ("fix_report_preview", "repos_top_stars", "seeds_first_n"):
         assert "TakeOrderedAndProject" in plan_of(catalog.QUERIES[name](spark, SF_DIR))

@@ -56,7 +56,7 @@ def test_phrases_of_any_length(spark, ways):
     given = ["of", "the SAME", "same text as", "w1 end1 a b", "of the w1 end1 a b",
              "the same text as in all the other copies of it", "the same text as in some"]
     patterns = spark.createDataFrame([(g,) for g in given], "pattern string")
-    got = sorted(tuple(r) for r in search.phrase_hits(patterns, files).collect())
+    got = sorted(tuple(r) for r in search.pattern_hits(patterns, files).collect())
     assert got == sorted(
         (g, f[0], f[1]) for g in given for f in rows if holds(f[3], g.lower())
     )
@@ -150,19 +150,45 @@ def test_similar_by_answers_accepts_unknown(spark, ways):
     ]
 
 
-def test_similar_by_share_and_patterns(spark, ways):
+def test_search_passes_over_a_common_header(spark, ways):
+    """The file that holds only the last statement is found, one that shares the header isn't accepted."""
+    header = "import os import sys import re"
+    statement = 'cursor.execute("SELECT " + user_id) # unsafe query'
+    texts = [statement, f"{header} print hello"] + [f"{header} w{i} x{i}" for i in range(30)]
+    files = spark.createDataFrame([(i, f"r{i}", "p", x) for i, x in enumerate(texts)], FILES)
+    seeds = spark.createDataFrame([(2, f"{header} {statement}"), (3, "HELLO")], SEEDS)
+    patterns = pat.seed_patterns(seeds, files)
+    hits = search.seed_hits(patterns, files).collect()
+    assert {h.file_id for h in hits if h.row_index == 2 and h.pattern_no == 1} == {0}
+    assert {(h.pattern, h.file_id) for h in hits if h.row_index == 3} == {("hello", 1)}
+    rows = [(2, "r0", 1, 1, 0), (2, "r1", 5, 1, 1)]
+    got = repo.similar_by_share(spark.createDataFrame(rows, ENTRIES), seeds, files, 0.4).collect()
+    assert {r.repo_name: r.similar for r in got} == {"r0": True, "r1": False}
+
+
+def test_longer_patterns_are_held_to_their_last_word(spark, ways):
+    files = spark.createDataFrame([(1, "x", "p", "import os only"), (2, "x", "p", "Import OS zebra")], FILES)
+    patterns = spark.createDataFrame([(2, 1, "import os ZEBRA"), (2, 2, "Import OS")], "row_index bigint, pattern_no int, pattern string")
+    got = sorted((h.pattern_no, h.file_id) for h in search.seed_hits(patterns, files).collect())
+    assert got == [(1, 2), (2, 1), (2, 2)]
+
+
+def test_unknown_repositories_stay(spark, ways):
+    known = repos(spark).where("repo_name = 'z'")
+    got = repo.drop_flagged(repo.with_repository(entries(spark), known)).collect()
+    assert sorted((r.row_index, r.repo_name, r.stars) for r in got) == [(2, "x", 0), (2, "y", 0), (3, "x", 0)]
+    unsure = repos(spark).withColumn("fork", F.lit(None).cast("boolean")).withColumn("archived", F.lit(None).cast("boolean"))
+    assert repo.star_filter(unsure, exclude_forks=True, exclude_archived=True).count() == 3
+
+
+def test_similar_by_share(spark, ways):
     files = spark.createDataFrame(
         [(1, "x", "p", "one two three four"), (2, "y", "p", "five six"), (3, "z", "p", "two  THREE four")], FILES
     )
     seeds = spark.createDataFrame([(2, "one two three four"), (3, "a")], SEEDS)
     got = repo.similar_by_share(entries(spark), seeds, files, 0.5).collect()
     assert sorted((r.row_index, r.repo_name, r.share, r.similar) for r in got) == [
-        (2, "x", 1.0, True), (2, "y", 0.0, False), (2, "z", 0.5, True), (3, "x", None, False),
-    ]
-    patterns = pat.seed_patterns(seeds)
-    by_rule = repo.similar_by_patterns(entries(spark), patterns, files).collect()
-    assert sorted((r.row_index, r.repo_name, r.similar) for r in by_rule) == [
-        (2, "x", True), (2, "y", False), (2, "z", True), (3, "x", False),
+        (2, "x", 1.0, True), (2, "y", 0.0, False), (2, "z", 0.5, True), (3, "x", 1.0, True),
     ]
 
 
