@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, dedup, language, pages, piece_counts, pitman_yor, quality, token_files, toxicity
+from . import bpe, decontaminate, dedup, language, pages, periodic_runs, piece_counts, pitman_yor, quality, token_files, toxicity
+from .checks import CHECKS as CHECKS
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +76,41 @@ def op10_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _id_hash() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of a tenth of the texts, by id, become periodic from some word on."""
+    planted = _id_hash() % 10 == 0
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.select("doc_id", "text", F.when(planted, words).alias("words"), F.floor(_id_hash() / 10).cast("bigint").alias("g"))
+    n = F.size("words").cast("bigint")
+    at = split.withColumn("at", F.when(n > 0, F.col("g") % n))
+    period = F.lit(1) + F.floor((n - F.col("at")) / (F.lit(3) + F.col("g") % 8)).cast("bigint")
+    repeated = F.transform(F.col("words"), lambda w, i: F.when(i < F.col("at"), w).otherwise(F.get(F.col("words"), (F.col("at") + (i - F.col("at")) % F.col("period")).cast("int"))))
+    return at.withColumn("period", period).select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(with_repeats(_read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("least"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    first = found.select("doc_id", "n_words", "runs", "collapsed", longest.alias("r"))
+    return first.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("r.before")).alias("start"),
+        F.col("r.length").alias("length"),
+        (-F.col("r.least")).alias("period"),
+        F.floor(F.lit(1000) * F.col("r.length") / -F.col("r.least")).cast("bigint").alias("exponent_milli"),
+        digest(F.array_join(lines, "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op5_page_texts, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op5_page_texts, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages, op11_periodic_runs)
 }
-
-CHECKS: dict[str, str] = {}

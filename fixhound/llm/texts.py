@@ -51,6 +51,11 @@ def inverse_powers(size: int) -> np.ndarray:
     return _power("inverse", _INVERSE, size)
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0, 1, ... of the radix of the hashes, and of its inverse."""
+    return _power("radix", _RADIX, size)[:size], _power("inverse", _INVERSE, size)[:size]
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit over all others."""
     out = values.astype(np.uint64, copy=True)
