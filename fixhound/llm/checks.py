@@ -56,4 +56,26 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r.s AS start, r.length AS length,
 FROM listed LEFT JOIN summed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-CHECKS: dict[str, str] = {"op11_periodic_runs": OP11}
+OP12 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
+    ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), least AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+CHECKS: dict[str, str] = {"op11_periodic_runs": OP11, "op12_embedding_links": OP12}
