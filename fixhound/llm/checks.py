@@ -78,4 +78,42 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings LEFT JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
 
-CHECKS: dict[str, str] = {"op11_periodic_runs": OP11, "op12_embedding_links": OP12}
+OP13 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS words FROM pieces
+), runs AS (
+  SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM listed, range(1, 6) AS sizes(k)
+), counts AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM runs GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND f >= 100
+), inner_phrases AS (
+  SELECT lang, f AS longer, k, w, unnest(range(2, k)) AS size FROM candidates
+), starts AS (
+  SELECT lang, longer, w, size, unnest(range(1, k - size + 2)) AS i FROM inner_phrases
+), held AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(longer) AS longer FROM starts GROUP BY ALL
+), kept AS (
+  SELECT candidates.* FROM candidates LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * f
+), cuts AS (
+  SELECT lang, phrase, f AS a, w, k, unnest(range(1, k)) AS cut FROM kept
+), scored AS (
+  SELECT lang, cuts.phrase, a, x.f AS l, y.f AS r, n, cut,
+    ((1000::HUGEINT * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+  FROM cuts JOIN totals USING (lang)
+  JOIN counts x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN counts y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1 : cuts.k], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+CHECKS: dict[str, str] = {"op11_periodic_runs": OP11, "op12_embedding_links": OP12, "op13_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, dedup, embedding_links, language, pages, periodic_runs, piece_counts, pitman_yor, quality, token_files, toxicity
+from . import bpe, collocations, decontaminate, dedup, embedding_links, language, pages, periodic_runs, piece_counts, pitman_yor, quality, token_files, toxicity
 from .checks import CHECKS as CHECKS
 
 
@@ -117,6 +117,10 @@ def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best_phrases(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op5_page_texts, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages, op11_periodic_runs, op12_embedding_links)
+    f.__name__: f for f in (op1_benchmark_leaks, op2_language_id, op3_pitman_yor, op4_wavelet_files, op5_page_texts, op6_bpe_round_trip, op7_near_duplicates, op8_quality_divergence, op9_piece_counts, op10_toxic_passages, op11_periodic_runs, op12_embedding_links, op13_collocations)
 }
