@@ -160,6 +160,20 @@ _REPLIES = r"""replies AS (
       ELSE CAST(e AS VARCHAR) END AS pattern
     FROM (SELECT row_index, unnest(list) AS e, unnest(range(1, len(list) + 1)) AS i FROM lists))"""
 
+_PHRASES = _with(
+    ("seeds", "files"),
+    """, given AS (
+        SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS pattern
+        FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i
+              FROM seeds, (SELECT unnest([4, 6]) AS n))),
+      runs AS (
+        SELECT file_id, repo_name, array_to_string(w[i:i + n - 1], ' ') AS pattern
+        FROM (SELECT file_id, repo_name, w, n, unnest(range(1, len(w) - n + 2)) AS i
+              FROM files, (SELECT unnest([4, 6]) AS n)))
+      SELECT DISTINCT pattern, file_id, repo_name
+      FROM runs WHERE pattern IN (SELECT pattern FROM given)""",
+)
+
 CHECKS: dict[str, str] = {
     "fix_report_sql": f"{_REPORT} ORDER BY cve_id",
     "fix_report_semi": f"{_REPORT} ORDER BY cve_id",
@@ -216,19 +230,7 @@ CHECKS: dict[str, str] = {
         _PATTERNS, "SELECT row_index, pattern_no, pattern, n_files FROM rare"
     ),
     "pattern_hits": _with(_FOUND[:-1], "SELECT pattern, file_id, repo_name FROM hits"),
-    "phrase_hits": _with(
-        ("seeds", "files"),
-        """, given AS (
-            SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS pattern
-            FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i
-                  FROM seeds, (SELECT unnest([4, 6]) AS n))),
-          runs AS (
-            SELECT file_id, repo_name, array_to_string(w[i:i + n - 1], ' ') AS pattern
-            FROM (SELECT file_id, repo_name, w, n, unnest(range(1, len(w) - n + 2)) AS i
-                  FROM files, (SELECT unnest([4, 6]) AS n)))
-          SELECT DISTINCT pattern, file_id, repo_name
-          FROM runs WHERE pattern IN (SELECT pattern FROM given)""",
-    ),
+    "phrase_hits": _PHRASES,
     "pattern_hits_capped": _with(_FOUND, "SELECT * FROM capped"),
     "hits_union_all": _with(
         _FOUND,
@@ -245,6 +247,13 @@ CHECKS: dict[str, str] = {
           SELECT row_index, pattern_no, pattern, hit_no, file_id, repo_name
           FROM patterns JOIN talk_hits USING (pattern) WHERE hit_no <= 10""",
     ),
+    "indexed_places": _with(_FOUND[:-1], "SELECT pattern, file_id, repo_name FROM hits"),
+    "indexed_phrases": _PHRASES,
+    "indexed_patterns": _with(
+        _PATTERNS, "SELECT row_index, pattern_no, pattern, n_files FROM rare"
+    ),
+    "indexed_hits": _with(_FOUND, "SELECT * FROM capped"),
+    "incremental_hits": _with(_FOUND, "SELECT * FROM capped"),
     "repo_candidates": _with(_ENTRIES, "SELECT * EXCLUDE (flagged) FROM entries"),
     "repo_samples": _with(
         _FOUND,
@@ -320,6 +329,19 @@ CHECKS: dict[str, str] = {
           GROUP BY seed_text, content, shared, seed_shingles, file_shingles""",
     ),
     "matches_top5": _with(_MATCHES, "SELECT * FROM matches"),
+    "matches_in_rounds": _with(
+        _MATCHES,
+        """, stopped AS (
+            SELECT row_index, max(rank) AS last FROM (
+              SELECT row_index, rank, row_number() OVER (PARTITION BY row_index ORDER BY rank) AS place
+              FROM accepted)
+            WHERE place <= 5 GROUP BY row_index HAVING count(*) = 5)
+          SELECT row_index, count(*) AS n_compared, max(rank) AS last_rank,
+            count_if((row_index, rank) IN (SELECT row_index, rank FROM accepted)) AS n_matches
+          FROM listed LEFT JOIN stopped USING (row_index)
+          WHERE last IS NULL OR rank <= last
+          GROUP BY row_index""",
+    ),
     "found_in_projects": _with((*_MATCHES, "cells"), "SELECT * FROM cells"),
     "found_column_update": _with(
         (*_MATCHES, "cells"),

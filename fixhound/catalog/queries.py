@@ -12,11 +12,12 @@ from fixhound.catalog import tables as t
 from fixhound.functions import text as tx
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
-from fixhound.operators import search, sheet, similarity
+from fixhound.operators import indexed, search, sheet, similarity
 from fixhound.operators.spread import durable
 from fixhound.plans import fix_report as report
 from fixhound.plans import matching, publish
 from fixhound.sources.tables import register_views
+from fixhound.streaming.hit_state import HitState
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,6 +242,49 @@ def hits_union_all(spark, sf_dir):
     )
 
 
+# The stored index
+
+
+@query
+def indexed_places(spark, sf_dir):
+    """The files of `pattern_hits`, by the index."""
+    patterns = durable(indexed.search_patterns(t.index(spark, sf_dir), t.seeds(spark, sf_dir)))
+    return indexed.indexed_places(t.index(spark, sf_dir), patterns)
+
+
+@query
+def indexed_phrases(spark, sf_dir):
+    """The files of `phrase_hits`, by the places of word pairs in the index."""
+    seeds = t.seeds(spark, sf_dir)
+    given = search.union_hits(*[pat.seed_phrases(seeds, n) for n in PHRASE_WORDS])
+    return indexed.indexed_places(t.index(spark, sf_dir), given)
+
+
+@query
+def indexed_patterns(spark, sf_dir):
+    """The patterns of `seed_patterns_rare`, by sketch and index."""
+    return indexed.rare_patterns(t.index(spark, sf_dir), t.seeds(spark, sf_dir))
+
+
+@query
+def indexed_hits(spark, sf_dir):
+    index = t.index(spark, sf_dir)
+    patterns = durable(indexed.search_patterns(index, sheet.has_code(t.seeds(spark, sf_dir))))
+    return indexed.indexed_hits(index, patterns)
+
+
+@query
+def incremental_hits(spark, sf_dir):
+    """Hits of a second run, after the rest of the corpus has come: kept hits and new files."""
+    seeds = sheet.has_code(t.seeds(spark, sf_dir))
+    index = t.new_index(spark, "growing-index")
+    state = HitState(spark, f"{index.path}-state")
+    for part in t.corpus_parts(spark, sf_dir):
+        index.append(part)
+        hits = state.hits_of(index, durable(indexed.search_patterns(index, seeds)))
+    return hits
+
+
 # Repositories
 
 
@@ -396,6 +440,18 @@ def matches_top5(spark, sf_dir):
     return matching.matches(t.inputs(spark, sf_dir)).drop("flagged", "share", "similar")
 
 
+@query
+def matches_in_rounds(spark, sf_dir):
+    """Of each seed: how many candidates were compared until five matched, and how many matched."""
+    inputs = t.inputs(spark, sf_dir)
+    compared = matching.matches_in_rounds(inputs, matching.shortlist(matching.candidates(inputs)))
+    return compared.groupBy("row_index").agg(
+        F.count("*").alias("n_compared"),
+        F.count_if("similar").alias("n_matches"),
+        F.max("rank").alias("last_rank"),
+    )
+
+
 def _published_cells(spark, sf_dir):
     inputs = t.inputs(spark, sf_dir)
     listed = matching.matches(inputs).select(

@@ -7,11 +7,15 @@ repository, `labels` for what is known of files, `events` for commits of files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixhound.operators.search import file_texts
+from fixhound.operators.spread import shared_folder
 from fixhound.plans.matching import Inputs
+from fixhound.sources.pair_index import PairIndex
 
 # The report's filter values in terms of the test tables.
 REPORT_FILTERS = {"language": "R", "cwe_id": "BUILDING", "min_score": 55}
@@ -139,3 +143,28 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
         repos(spark, sf_dir),
         commits(spark, sf_dir),
     )
+
+
+# Of each session and folder of tables: an index belongs to its corpus and serves all queries.
+_INDEXES: dict[tuple[str, str], PairIndex] = {}
+
+
+def corpus_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The corpus as it arrives: two thirds of the files, then the others."""
+    whole = files(spark, sf_dir)
+    return [whole.where("file_id % 3 > 0"), whole.where("file_id % 3 = 0")]
+
+
+def new_index(spark: SparkSession, name: str) -> PairIndex:
+    return PairIndex(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def index(spark: SparkSession, sf_dir: str) -> PairIndex:
+    """The stored index of the corpus, built when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        built = new_index(spark, "pair-index")
+        for part in corpus_parts(spark, sf_dir):
+            built.append(part)
+        _INDEXES[key] = built
+    return _INDEXES[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What may be broadcast. The size is measured before the hint is given.
@@ -115,11 +115,17 @@ def durable(df: DataFrame) -> DataFrame:
     Used after a pass over the corpus: what follows is small, is read more than once, and
     must not repeat the pass when an executor is lost.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints, which driver and executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or own_folder(context.master))
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")
 
 
 def own_folder(master: str) -> str:

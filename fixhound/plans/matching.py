@@ -54,6 +54,32 @@ def matches(inputs: Inputs, min_share: float = repo.MIN_SHARE) -> DataFrame:
     return top_matches(repo.similar_by_share(listed, inputs.seeds, inputs.files, min_share))
 
 
+def matches_in_rounds(
+    inputs: Inputs, listed: DataFrame, min_share: float = repo.MIN_SHARE, limit: int = repo.MATCHES_PER_SEED
+) -> DataFrame:
+    """The same matches, comparing no candidate after a seed's last match; `listed` is durable.
+
+    Returns the compared candidates with `share` and `similar`. In each round, a seed that
+    lacks n matches has its next n candidates compared, which are needed in any case; a seed
+    that has all its matches takes part no more. Candidates past the fifth match are thus never
+    read. Each round is a pass over the files, so this pays where texts are dear to compare.
+    """
+    done = None
+    progress = listed.select("row_index", F.lit(0).alias("last"), F.lit(limit).alias("lacking")).distinct()
+    while True:
+        due = listed.join(progress, "row_index").where(
+            (F.col("rank") > F.col("last")) & (F.col("rank") <= F.col("last") + F.col("lacking"))
+        )
+        due = durable(due.select(*listed.columns))
+        if done is not None and due.isEmpty():
+            return done
+        compared = repo.similar_by_share(due, inputs.seeds, inputs.files, min_share)
+        done = durable(compared if done is None else done.unionByName(compared))
+        progress = done.groupBy("row_index").agg(
+            F.max("rank").alias("last"), (F.lit(limit) - F.count_if("similar")).alias("lacking")
+        )
+
+
 def funnel(inputs: Inputs, min_share: float = repo.MIN_SHARE) -> DataFrame:
     """Repositories left per seed after each stage, from one pass over the candidates."""
     entries = durable(candidates(inputs))
