@@ -105,7 +105,7 @@ def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _over_slices(work: Callable[[Words], pa.RecordBatch | None]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes=8 << 20):
+            for part in slices(batch, max_bytes=2 << 20):
                 words = Words(part)
                 if len(words.hashes):
                     yield from work(words)
