@@ -10,13 +10,14 @@ for K coordinates, however long the text is; ranks are explored further where on
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Documents
 that agree in a whole band meet in a bucket. In a bucket all are compared with its first and its
 last document. Documents that still share a bucket with another class are compared across classes only,
-by their rarest shingles, so a large group of near copies is never multiplied out. Every pair is
-checked exactly before it counts as a link.
+by their rarest shingles: where the first one that two documents share stands in both, in order of
+rarity, bounds how much they can share, and for each such place only documents of a size that the
+bound allows meet. Neither a large group of near copies nor one of different documents with a common
+passage is multiplied out. Every pair is checked exactly before it counts as a link.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stores import written
-from .texts import Tokens, mix, signed, slices, utf8
+from .texts import Tokens, mix, signed, slices
 
 SIMILARITY = 0.8
 #: Bands and coordinates in each: at a similarity of 0.8 a pair is missed once in 40,000.
@@ -128,15 +129,16 @@ def _weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     return shingle[at], np.diff(np.append(at, len(shingle))).astype(float), doc[at], len(tokens.counts)
 
 
+def _digest() -> F.Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def _signed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text, shingles (with repeats), 64-bit sketch and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = utf8(part.column("text"))
-                raw, ends = data.tobytes(), offsets.tolist()
-                digest = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])]
                 shingle, weight, doc, n = _weighted_shingles(part.column("text"))
                 signature = signatures(shingle, weight, doc, n)
                 bits = (signature[:, :64] & np.uint64(1)).astype(np.uint8)
@@ -147,11 +149,11 @@ def _signed_documents(docs: DataFrame) -> DataFrame:
                         bands = mix(bands + signature[:, k::ROWS])
                     bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(np.bincount(doc, weight, n).astype(np.int64)), pa.array(sketch), pa.FixedSizeListArray.from_arrays(pa.array(signed(bands.ravel())), BANDS).cast(pa.list_(pa.int64()))],
+                    [part.column("doc_id"), part.column("digest"), pa.array(np.bincount(doc, weight, n).astype(np.int64)), pa.array(sketch), pa.FixedSizeListArray.from_arrays(pa.array(signed(bands.ravel())), BANDS).cast(pa.list_(pa.int64()))],
                     ["doc_id", "digest", "n", "sketch", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest binary, n bigint, sketch bigint, bands array<bigint>")
+    return docs.select("doc_id", _digest().alias("digest"), "text").mapInArrow(run, "doc_id bigint, digest string, n bigint, sketch bigint, bands array<bigint>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -207,44 +209,69 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
-def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of documents with different labels that may be similar enough.
+def _leading(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rarest elements of each document, with their places: doc, n, sketch, label, element, place.
 
-    left: doc, n, sketch, label. Of two similar enough sets of elements, both in order of how many
-    documents have each, the rarest fifths have an element in common; so documents are brought
-    together by those only. What many documents share is not among them, unless it is most of a
-    text. Among the documents of an element, those of its main label meet only the others.
+    Two sets of n >= m elements that are similar enough share t (n + m) at least, t = s / (1 + s). If
+    the first one they share, in order of rarity, is at place p of one, counted from 0, then n - p of
+    them are left, so n + m <= (n - p) / t. No element from place n - s n on can be the first.
     """
     every = left.join(sets, "doc").select("doc", "n", "sketch", "label", F.explode("elements").alias("element"))
     rare = every.groupBy("element").agg(F.count(F.lit(1)).alias("df"))
     sorted_ = every.join(rare, "element").groupBy("doc", "n", "sketch", "label").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
     ends = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1
-    leading = sorted_.select("doc", "n", "sketch", "label", F.explode(F.slice("e", F.lit(1), ends.cast("int"))).alias("e")).where("e.df > 1")
-    leading = written.table(leading.select("doc", "n", "sketch", "label", F.col("e.element").alias("element")), "leading")
-    sizes = leading.groupBy("element", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("element").agg(F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    mixed = leading.join(main.select("element", F.col("m.label").alias("main")), "element")
-    x, y = mixed.where("label != main").alias("x"), mixed.alias("y")
-    across = (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
-    return x.join(y, across).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    leading = sorted_.select("doc", "n", "sketch", "label", F.posexplode(F.slice("e", F.lit(1), ends.cast("int"))).alias("place", "e"))
+    return leading.where("e.df > 1").select("doc", "n", "sketch", "label", F.col("e.element").alias("element"), "place")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """`doc_id` and `class_id` (the least doc_id of its class) for every row of `docs` (doc_id, text).
+def _size_class(n: F.Column) -> F.Column:
+    """Sizes within about 2.5 % of each other are a class."""
+    return F.floor(F.log(n) * 40).cast("int")
 
-    Documents are in a class if links lead from one to the other: the same text, or texts at least
-    0.8 similar. Of a text with fewer than five words all its words are one shingle; null texts
-    count as empty, and texts without a word are near their exact copies only. Rows without an id
-    stay, in the class of their text. Repeated rows each give a row.
+
+def _across(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) of documents with different labels that may be similar enough.
+
+    left: doc, n, sketch, label. Pairs meet by an element of both and the smaller one's class of sizes:
+    the larger one asks for the classes that its place of the element allows. Among the documents of
+    an element, those of its main label meet only the others.
+    """
+    leading = written.table(_leading(left, sets), "leading")
+    sizes = leading.groupBy("element", "label").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("element").agg(F.max(F.struct("size", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    # the greatest size of a partner that may share enough
+    most = (F.col("n") - F.col("place")) * F.lit((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6
+    mixed = leading.join(main.select("element", F.col("m.label").alias("main")), "element").withColumn("most", most)
+    mixed = written.table(mixed.withColumn("other", F.col("label") != F.col("main")).drop("main", "place"), "mixed")
+    smaller = mixed.where("most >= n").withColumn("class", _size_class(F.col("n")))
+    least = F.lit(SIMILARITY) * F.col("n") - 1e-6
+    larger = mixed.where(F.col("most") >= least).withColumn("class", F.explode(F.sequence(_size_class(least), _size_class(F.least("n", "most")))))
+    fits = (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
+    fits &= (F.col("x.element") == F.col("y.element")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & _near("x", "y")
+    found = None
+    for x, y in ((larger.where("other"), smaller), (larger.where("not other"), smaller.where("other"))):
+        pairs = x.alias("x").join(y.alias("y"), fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and digest of every row; digest, class and least doc_id of every distinct text.
+
+    Texts are told apart by their digests, and numbered; so rows without an id, or that share one,
+    are compared like all others.
     """
     signed_docs = written.table(_signed_documents(docs), "signatures")
-    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n", "sketch", "bands")).alias("r")
-    texts = written.table(signed_docs.groupBy("digest").agg(first).select("digest", "r.doc_id", "r.n", "r.sketch", "r.bands"), "distinct-texts")
-    one = texts.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "sketch", F.explode("bands").alias("bucket"))
+    one = F.min_by(F.struct("n", "sketch", "bands"), "doc_id")
+    any_ = F.first(F.struct("n", "sketch", "bands"))
+    texts = signed_docs.groupBy("digest").agg(F.coalesce(one, any_).alias("r"), F.min("doc_id").alias("least"))
+    texts = written.table(texts.select("digest", "least", "r.*", F.monotonically_increasing_id().alias("doc")), "distinct-texts")
+    one = texts.where("n > 0").select("doc", "n", "sketch", F.explode("bands").alias("bucket"))
     heads = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written.table(one.join(heads, "bucket", "left_semi"), "buckets")
-    wanted = met.select("doc").distinct()
-    sets = written.table(_shingle_sets(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi").dropDuplicates(["doc"])), "shingle-sets")
+    wanted = texts.select("doc", "digest").join(met.select("doc").distinct(), "doc", "left_semi")
+    sources = docs.select(_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["doc"])
+    sets = written.table(_shingle_sets(sources.select("doc", "text")), "shingle-sets")
     links = labels = None
     for order in (F.min, F.max):
         # each document against one of every bucket that it is in, unless both have a label already
@@ -266,5 +293,31 @@ def classes(docs: DataFrame) -> DataFrame:
     more = written.table(_verified(_across(left, sets), sets), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    named = texts.select("digest", F.col("doc_id").alias("doc")).join(labels, "doc", "left").select("digest", F.coalesce("label", "doc").alias("class_id"))
-    return signed_docs.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+    classed = texts.select("digest", "doc", "least").join(labels, "doc", "left").select("digest", "least", F.coalesce("label", "doc").alias("class"))
+    return signed_docs.select("doc_id", "digest"), written.table(classed, "classes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """`doc_id` and `class_id` (the least doc_id of its class) for every row of `docs` (doc_id, text).
+
+    Documents are in a class if links lead from one to the other: the same text, or texts at least
+    0.8 similar. Of a text with fewer than five words all its words are one shingle; null texts
+    count as empty, and texts without a word are near their exact copies only. Rows without an id, or
+    that share one, are rows like all others; the class_id of a class without any id is null.
+    Repeated rows each give a row. Other columns are not read.
+    """
+    rows, classed = _classed(docs)
+    named = classed.join(classed.groupBy("class").agg(F.min("least").alias("class_id")), "class")
+    return rows.join(named.select("digest", "class_id"), "digest").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of `docs` of each class, as it came in: with the least doc_id, the least text digest among
+    equals, and a row with an id before one without."""
+    _, classed = _classed(docs)
+    first = F.min(F.struct(F.isnull("least"), "least", "digest")).alias("m")
+    heads = classed.groupBy("class").agg(first).select(F.col("m.digest").alias("digest"), F.col("m.least").alias("least"))
+    # in a struct, the rows' own columns clash with nothing
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _digest().alias("digest"))
+    kept = rows.alias("r").join(heads.alias("h"), (F.col("r.digest") == F.col("h.digest")) & F.col("r.id").eqNullSafe(F.col("h.least")), "left_semi")
+    return kept.dropDuplicates(["digest"]).select("row.*")
