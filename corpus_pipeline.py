@@ -1,8 +1,10 @@
 """A corpus from raw documents: five stages, each written as Parquet before the next one reads it.
 
 Quality rules, language identification, near-duplicate removal, benchmark decontamination, then
-encoding. The first four return rows of `documents` as they came in; the last one returns ids and
-what they decode to as digests.
+encoding. The first four return rows of `documents` as they came in, with whatever other columns these
+have; the last one returns ids and what they decode to as digests. Rows with a null or empty text
+fail the quality rules. Rows without an id, or that share one, are judged each by its own text; of
+repeated rows one is left. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from fixhound.llm.stores import written
 SURE = 0.5
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """Every row whole in `row`, where its columns clash with none of a stage, beside those a stage reads."""
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and aren't far from every language's usual text."""
-    # the partition's number keeps the optimizer from moving the filter below the steps that make the
-    # verdict, where it would hold all of them once more for each time they are used
-    judged = quality.judge(docs, quality.references(docs)).withColumn("_part", F.spark_partition_id())
-    return judged.where(F.when(F.col("_part") >= 0, F.col("kept"))).select(*docs.columns)
+    judged = quality.judge(_packed(docs, "text"), quality.references(docs))
+    # written, since the verdict has many steps and a filter would be computed beside each of them
+    return written.table(judged.select("row", "kept"), "verdicts").where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,24 +38,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier is fitted on the documents that came this far.
     """
-    named = language.predict(docs, language.fit(docs))
+    named = language.predict(_packed(docs, "text"), language.fit(docs))
     fits = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)
-    return named.where(fits).select(*docs.columns)
+    return named.where(fits).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one that the class is named after."""
-    heads = dedup.classes(docs).select(F.col("class_id").alias("doc_id")).distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    # copies that share the id of their class would all stay
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return dedup.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Rows get a number, so one goes for its own text, whether or not it has an id or shares it.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = written.table(decontaminate.contaminated(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    rows = written.table(_packed(docs, "text").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    leaked = written.table(decontaminate.contaminated(rows, items).select("doc_id").distinct(), "leaks")
+    return rows.join(leaked, "doc_id", "left_anti").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, found by Hamming blocks, then checked exactly.
 
 Texts are cut into words, in lower case and without signs at their ends. Windows come in a few
-sizes; an item is looked for by its leading part of the largest size that it holds. In a document
-a window begins at every `STRIDE`-th word; an item's part is taken at each of the first `STRIDE`
-words, so one of them always lines up with a window. The fingerprint of a window is the sign of
+sizes. An item is looked for by all its parts of the largest size that it holds, and by all its
+parts of a third of its length: of the edits that leave an item similar enough, so few fit in that
+some part has none. In a document a window begins at every `STRIDE`-th word; an item's part is
+taken at each of `STRIDE` words in a row, so one of them always lines up with a window. The fingerprint of a window is the sign of
 its words' summed 64-bit votes. Fingerprints that differ in at most `RADIUS` bits agree in one of
 four 16-bit blocks up to RADIUS // 4 bits; an index over the blocks, holding every item under all
 block values that near, therefore finds all of them. Each candidate is then compared as a whole:
-the weighted Jaccard similarity of the five-word shingles of the item and of as many words of the
-document, at the same alignment and at the neighbouring ones.
+the weighted Jaccard similarity of the five-word shingles of the item and of a run of the document's
+words, as long as the item or cut to where shared shingles begin and end around that place.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stores import written
 from .texts import SHINGLE_WORDS, Tokens, inverse_powers, mix, slices
 
 STRIDE = 4
@@ -85,39 +87,55 @@ class Steps:
         return _signs(self._of(size // STRIDE)[rows], size)
 
 
-def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of the shingles of two runs of words, a shingle weighing as often as it occurs."""
-    bags = []
-    for words in (a, b):
-        words = words.tolist()
-        n = max(len(words) - SHINGLE_WORDS + 1, 1)
-        bags.append(Counter(tuple(words[i : i + SHINGLE_WORDS]) for i in range(n)))
-    both = sum((bags[0] & bags[1]).values())
-    return both / (sum(bags[0].values()) + sum(bags[1].values()) - both)
+def _shingles(words: np.ndarray) -> list[tuple[int, ...]]:
+    words = words.tolist()
+    return [tuple(words[i : i + SHINGLE_WORDS]) for i in range(len(words) - SHINGLE_WORDS + 1)]
 
 
-def _may_match(item: np.ndarray, run: np.ndarray) -> bool:
-    """False if too few of the item's shingles begin with a word of the run to reach the similarity."""
-    words, n = set(run.tolist()), max(len(item) - SHINGLE_WORDS + 1, 1)
-    return sum(w in words for w in item[:n].tolist()) >= SIMILARITY * n
+def best_run(item: Counter, size: int, words: np.ndarray, place: int) -> tuple[float, int]:
+    """The similarity and first word of the run most like an item among those tried about a place.
+
+    item: its shingles; size: its words. Tried are the run at the place itself, as long as the item, and
+    the runs from the first to the last shared shingle in it, and in a quarter more on either side.
+    """
+    total, slack = sum(item.values()), size // 4 + 2
+    low, high = max(place - slack, 0), min(place + size + slack, len(words))
+    around = _shingles(words[low:high])
+    shared = [low + i for i, s in enumerate(around) if s in item]
+    if len(shared) < SIMILARITY * total:
+        return 0.0, place
+    best = (0.0, place)
+    begin, end = max(place, 0), min(place + size, len(words)) - SHINGLE_WORDS + 1
+    inside = [i for i in shared if begin <= i < end] or shared
+    for a, b in {(begin, end), (inside[0], inside[-1] + 1), (shared[0], shared[-1] + 1), (shared[0], end), (begin, shared[-1] + 1)}:
+        if a < b and total * SIMILARITY <= b - a <= total / SIMILARITY:
+            run = Counter(around[a - low : b - low])
+            both = sum((item & run).values())
+            best = max(best, (both / (total + b - a - both), -a))
+    return best[0], abs(best[1])
 
 
 @dataclass
 class ItemIndex:
     """Items, and their leading parts by block values."""
 
-    items: list[tuple[int, np.ndarray]]
+    items: list[tuple[int, Counter, int]]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]
 
     @classmethod
     def build(cls, ids: list[int], texts: list[str | None]) -> ItemIndex:
         words = Words(pa.array(texts, pa.large_string()))
-        items = [(i, words.hashes[a : a + n]) for i, a, n in zip(ids, words.first.tolist(), words.counts.tolist())]
-        parts: dict[int, list[tuple[int, int, np.uint64]]] = {}
-        for k, (_, hashes) in enumerate(items):
-            fit = [s for s in SIZES if s + STRIDE - 1 <= len(hashes)] or [s for s in SIZES if s <= len(hashes)][-1:]
-            for size in fit[-1:]:
-                starts = np.arange(min(STRIDE, len(hashes) - size + 1))
+        items, parts = [], {}
+        for k, (i, a, n) in enumerate(zip(ids, words.first.tolist(), words.counts.tolist())):
+            hashes = words.hashes[a : a + n]
+            items.append((i, Counter(_shingles(hashes)), n))
+            if n < SHINGLE_WORDS:
+                continue
+            fit = [s for s in SIZES if s + STRIDE - 1 <= n] or [SIZES[0]]
+            for size in {fit[-1], max([s for s in fit if s <= n // 3], default=fit[0])}:
+                # parts end to end, and the last ones; each at a few words in a row
+                firsts = {min(o, max(n - size - STRIDE + 1, 0)) for o in range(0, n, size)}
+                starts = np.unique([o + d for o in firsts for d in range(STRIDE) if o + d + size <= n])
                 for shift, mark in zip(starts.tolist(), fingerprints(hashes, starts, size)):
                     parts.setdefault(size, []).append((k, shift, mark))
         tables = {}
@@ -164,23 +182,25 @@ class ItemIndex:
         seen: set[tuple[int, int, int]] = set()
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for size in self.tables:
-            rows = np.flatnonzero(left[begins] >= size)
-            if not len(rows):
+            if size == SIZES[0] and any(SHINGLE_WORDS <= n < size + STRIDE - 1 for _, _, n in self.items):
+                # items with fewer parts than a stride has words need a window at every word
+                places = np.flatnonzero(left >= size)
+                marks = Steps(hashes, places).marks(np.arange(len(places)), size)
+            else:
+                rows = np.flatnonzero(left[begins] >= size)
+                places, marks = begins[rows], steps.marks(rows, size) if len(rows) else rows
+            if not len(places):
                 continue
-            window, item, shift = self.candidates(size, steps.marks(rows, size))
-            for w, k, s in zip(begins[rows[window]].tolist(), item.tolist(), shift.tolist()):
+            window, item, shift = self.candidates(size, marks)
+            for w, k, s in zip(places[window].tolist(), item.tolist(), shift.tolist()):
                 row = int(words.doc[w])
                 first, last = int(words.first[row]), int(words.first[row] + words.counts[row])
-                wanted = self.items[k][1]
-                for start in {w - s, w - s - 1, w - s + 1}:
-                    if (row, k, start) in seen or start < first or start >= last:
-                        continue
-                    seen.add((row, k, start))
-                    if not _may_match(wanted, hashes[start : min(start + len(wanted), last)]):
-                        continue
-                    similar = weighted_similarity(wanted, hashes[start : min(start + len(wanted), last)])
-                    if similar >= SIMILARITY and (similar, first - start) > (known := best.get((row, k), (0.0, 0)))[:2]:
-                        best[(row, k)] = (similar, first - start)
+                if (row, k, w - s) in seen:
+                    continue
+                seen.add((row, k, w - s))
+                similar, start = best_run(self.items[k][1], self.items[k][2], hashes[first:last], w - s - first)
+                if similar >= SIMILARITY:
+                    best[(row, k)] = max(best.get((row, k), (0.0, 0)), (similar, -start))
         return [(row, self.items[k][0], -shift, similar) for (row, k), (similar, shift) in sorted(best.items())]
 
 
@@ -215,8 +235,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEM
     An item occurs if some run of the document's words is at least `SIMILARITY` similar to it;
     its best place is given, the first of equals. Items of fewer than five words can't be told
     from ordinary text and are never found; null texts hold nothing. Items are handled in blocks
-    of `items_a_pass`, one pass over the documents each, so the index that a task holds is bounded.
-    Repeated documents each give their rows; rows of the benchmark with the same id each count.
+    of about `items_a_pass`, one pass over the documents each; with several, the rows of each are written
+    before the next begins, so neither a task nor the driver holds more than one block's index.
+    Other columns are not read. Repeated documents each give their rows; rows of the benchmark with the same id each count.
     """
     items = benchmark.where("text is not null").select("item_id", "text")
     blocks = max(1, -(-items.count() // items_a_pass))
@@ -236,5 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, items_a_pass: int = ITEM
                     yield pa.record_batch([part.column("doc_id").take(at), *columns], ["doc_id", "item_id", "start", "similarity"])
 
         one = texts.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, similarity double")
+        if blocks > 1:
+            one = written.table(one, "leaks-of-a-block")
         found = one if found is None else found.unionByName(one)
     return found

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fixhound.llm import decontaminate, dedup, language, pitman_yor, quality, toxicity
@@ -90,6 +91,58 @@ def test_benchmark_leaks(spark):
     assert decontaminate.contaminated(rows, table.where("false")).count() == decontaminate.contaminated(rows.where("false"), table).count() == 0
 
 
+@pytest.mark.parametrize("size, edits, within", [(400, 8, 200), (800, 16, 200), (1500, 30, 1500), (12, 1, 12), (5, 0, 5), (6, 0, 6), (30, 1, 30), (120, 2, 120)])
+def test_edited_items_are_found_wherever_the_edits_are(size, edits, within):
+    """Brute force: every passage at least 0.8 similar to the item, with words replaced, dropped or added."""
+    wanted = found = 0
+    for k in range(45):
+        rng = np.random.default_rng(k)
+        item = prose(1000 + k, size, 10**9) if size < 100 else [f"v{x}" for x in rng.integers(0, 10**6, size)]
+        edited = list(item)
+        for place in sorted(rng.choice(within, edits, replace=False), reverse=True):
+            edited[place : place + (k % 3 < 2)] = [] if k % 3 == 1 else [f"new{place}"]
+        if similar(shingles(" ".join(item)), shingles(" ".join(edited))) < 0.8:
+            continue
+        wanted += 1
+        around = [" ".join(f"a{x}" for x in rng.integers(0, 10**6, rng.integers(0, 50))) for _ in range(2)]
+        index = decontaminate.ItemIndex.build([7], [" ".join(item)])
+        found += [h[:2] for h in index.find(pa.array([f"{around[0]} {' '.join(edited)} {around[1]}"], pa.large_string()))] == [(0, 7)]
+    assert wanted and found >= 0.98 * wanted
+
+
+def test_benchmark_leaks_edge_cases(spark):
+    item = " ".join(prose(50, 40, 100_000))
+    long = " ".join(prose(51, 60_000, 100_000))
+    docs = [(1, f"{long} {item} {long}"), (2, f"{item} x {item}"), (3, "a b c d"), (None, item)]
+    table = spark.createDataFrame([(1, item, 3), (1, item, 4), (2, "a b c d", 5), (3, "", 6)], "item_id bigint, text string, start int")
+    found = decontaminate.contaminated(frame(spark, docs), table).collect()
+    assert sorted([(r.doc_id, r.item_id, r.start) for r in found], key=str) == sorted([(1, 1, 60_000), (1, 1, 60_000), (2, 1, 0), (2, 1, 0), (None, 1, 0), (None, 1, 0)], key=str)
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share an id are compared each by its own text."""
+    a, b = prose(60, 100, 100_000), prose(61, 100, 100_000)
+    near = lambda words: " ".join(["first", *words[1:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, "lone " + " ".join(prose(62, 50, 10**5)))]
+    got = sorted(map(tuple, dedup.classes(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (None, None)], key=str)
+    kept = dedup.one_of_each(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 1, None], key=str)
+
+
+def test_a_passage_in_many_different_documents_gives_few_pairs(spark, monkeypatch):
+    """Below 0.8 similar to each other: documents that share a passage hardly ever meet."""
+    passage = " ".join(prose(70, 70, 10**9))
+    texts = [f"{passage} " + " ".join(f"d{k}w{i}" for i in range(14)) for k in range(2000)]
+    pairs = []
+    across = dedup._across
+    monkeypatch.setattr(dedup, "_across", lambda *a: pairs.append(across(*a)) or pairs[-1])
+    classes = dedup.classes(frame(spark, enumerate(texts)))
+    assert classes.where("class_id = doc_id").count() == 2000
+    assert pairs[0].count() < 2000
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(5)
     index = decontaminate.ItemIndex.build([1], [" ".join(prose(13, 31, 100_000))])
@@ -120,6 +173,13 @@ def test_pitman_yor_counts_and_probabilities(spark):
     assert sum(r.score for r in trained) > sum(r.base_score for r in trained)
 
 
+def test_pitman_yor_scores_each_row_by_itself(spark):
+    rows = [(1, "alpha beta gamma"), (1, "alpha"), (None, "x y z w"), (-1, "alpha beta"), (None, None), (7, "word " * 50_000)]
+    docs = frame(spark, rows).selectExpr("doc_id", "text", "true as train", "n as id", "score as n_tokens")
+    got = sorted(((r.doc_id, r.n_tokens) for r in pitman_yor.score(docs).collect()), key=str)
+    assert got == sorted([(1, 4), (1, 2), (None, 5), (-1, 3), (None, 1), (7, 50_001)], key=str)
+
+
 def test_pitman_yor_sums_to_one(spark):
     docs = frame(spark, [(i, " ".join(prose(i, 60, 20))) for i in range(30)]).selectExpr("text", "true as train")
     one = spark.createDataFrame([(" ".join([f"w{i}" for i in range(1, 21)]),)], "text string").selectExpr("text", "false as train")
