@@ -209,6 +209,23 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels with further links: these are drawn between labels, so what is settled isn't gone through again."""
+    if labels is None:
+        return components(links)
+    for side in ("a", "b"):
+        named = labels.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}"))
+        links = links.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    links = written.table(links, "new-links")
+    drawn = links.where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    if drawn.isEmpty():
+        return labels
+    over = components(drawn).select(F.col("doc").alias("label"), F.col("label").alias("least"))
+    fresh = links.select(F.col("a").alias("doc"), F.col("la").alias("label")).unionByName(links.select(F.col("b").alias("doc"), F.col("lb").alias("label")))
+    every = labels.unionByName(fresh.where("doc = label")).distinct()
+    return written.table(every.join(over, "label", "left").select("doc", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def _leading(left: DataFrame, sets: DataFrame) -> DataFrame:
     """The rarest elements of each document, with their places: doc, n, sketch, label, element, place.
 
@@ -272,7 +289,7 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = texts.select("doc", "digest").join(met.select("doc").distinct(), "doc", "left_semi")
     sources = docs.select(_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["doc"])
     sets = written.table(_shingle_sets(sources.select("doc", "text")), "shingle-sets")
-    links = labels = None
+    labels = None
     for order in (F.min, F.max):
         # each document against one of every bucket that it is in, unless both have a label already
         head = order(F.struct("doc", "n", "sketch")).alias("h")
@@ -283,16 +300,13 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for side in ("a", "b"):
                 pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}")), side, "left")
             pairs = pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        found = _verified(pairs, sets)
-        links = written.table(found if links is None else links.unionByName(found), "links")
-        labels = components(links)
+        labels = merged(labels, written.table(_verified(pairs, sets), "links"))
     placed = met.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     placed = written.table(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     left = written.table(placed.join(mixed, "bucket", "left_semi").select("doc", "n", "sketch", "label").distinct(), "left")
     more = written.table(_verified(_across(left, sets), sets), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    labels = merged(labels, more)
     classed = texts.select("digest", "doc", "least").join(labels, "doc", "left").select("digest", "least", F.coalesce("label", "doc").alias("class"))
     return signed_docs.select("doc_id", "digest"), written.table(classed, "classes")
 
