@@ -104,6 +104,42 @@ PARTS = {
         FROM seeds LEFT JOIN matches USING (row_index) GROUP BY row_index)""",
 }
 
+PARTS["given_patterns"] = PARTS["patterns"].replace("patterns AS (", "plain AS (") + """,
+      patterns AS (
+        SELECT * FROM plain WHERE row_index % 2 = 1
+          OR row_index IN (SELECT row_index FROM seeds WHERE len(w) < 4)
+        UNION ALL SELECT row_index, i, w[2 * i - 1] || ' ' || w[2 * i]
+        FROM seeds, (SELECT unnest([1, 2]) AS i) WHERE row_index % 2 = 0 AND len(w) >= 4)"""
+PARTS["answered"] = """answered AS (
+        SELECT * EXCLUDE (flagged) FROM (
+          SELECT *, row_number() OVER (PARTITION BY row_index
+                                       ORDER BY stars DESC, pattern_no, hit_no) AS rank
+          FROM entries WHERE repo_name NOT IN
+            (SELECT repo_name FROM readmes WHERE length(readme) > 2000))
+        WHERE rank <= 10),
+      accepted AS (
+        SELECT answered.* FROM answered LEFT JOIN labels ON doc_id = file_id
+        WHERE coalesce(quality = 1, true))"""
+PARTS["faulty"] = """numbered AS (
+        SELECT item_id, 'CVE-' || item_id AS cve_id, item_id % 9 = 4 AS damaged, item_id % 6 = 0 AS done,
+          CASE WHEN item_id % 7 = 3 THEN NULL WHEN item_id % 5 = 1 THEN item_id + 1
+            ELSE item_id + 2 END AS row_index
+        FROM benchmark),
+      counted AS (
+        SELECT *, count(*) OVER (PARTITION BY row_index) AS n FROM numbered),
+      messages AS (
+        SELECT *, CASE WHEN row_index IS NULL THEN 'no row number'
+            WHEN row_index < 2 THEN 'row number below the first row'
+            WHEN n > 1 THEN 'row number occurs ' || n || ' times'
+            WHEN damaged THEN 'code is not text' END AS message
+        FROM counted),
+      statuses AS (
+        SELECT row_index, cve_id, message, CASE WHEN message IS NOT NULL THEN 'error'
+            WHEN done THEN 'skipped'
+            WHEN item_id + 2 IN (SELECT row_index FROM matches) THEN 'updated'
+            ELSE 'none_found' END AS status
+        FROM messages)"""
+
 _PATTERNS = ("seeds", "files", "pairs", "patterns")
 _FOUND = (*_PATTERNS, "hits", "capped")
 _ENTRIES = (*_FOUND, "repos", "entries")
@@ -360,6 +396,33 @@ CHECKS: dict[str, str] = {
                        PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) e
             ON e.user_id = file_id AND n = 1""",
     ),
+    "detail_rows_with_heads": _with(
+        _MATCHES,
+        """SELECT cve_id AS "CVE ID", 'Unknown' AS "Vulnerability Type",
+            m.repo_name AS "Repository Name", stars AS "Stars",
+            'https://github.com/' || m.repo_name AS "Repository URL",
+            'https://github.com/' || m.repo_name || '/commit/' || CASE WHEN toxic = 1
+              THEN 'head-' || m.repo_name ELSE CAST(event_id AS VARCHAR) END AS "Commit URL",
+            file_path AS "File Path", substring(content, 1, 5000) AS "Code Snippet"
+          FROM matches m JOIN seeds USING (row_index) JOIN files USING (file_id)
+          LEFT JOIN labels ON labels.doc_id = file_id
+          LEFT JOIN (SELECT user_id, event_id, row_number() OVER (
+                       PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) e
+            ON e.user_id = file_id AND n = 1""",
+    ),
+    "matches_by_answers": _with(
+        ("seeds", "files", "pairs", "given_patterns", "hits", "capped", "repos", "readmes", "entries",
+         "answered", "matches"),
+        "SELECT * FROM matches",
+    ),
+    "row_status": _with((*_MATCHES, "faulty"), "SELECT * FROM statuses"),
+    "run_summary_with_errors": _with(
+        (*_MATCHES, "faulty"),
+        """SELECT count(*) AS total, count_if(status <> 'error') AS processed,
+            count_if(status = 'skipped') AS skipped, count_if(status = 'updated') AS updated,
+            count_if(status = 'none_found') AS none_found, count_if(status = 'error') AS errors
+          FROM statuses""",
+    ),
     "run_summary": _with(
         _MATCHES,
         f"""SELECT count(*) AS total, count(*) AS processed,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.types import IntegerType
 
 from fixhound.catalog import tables as t
 from fixhound.functions import text as tx
+from fixhound.functions.grams import with_words
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
 from fixhound.operators import indexed, search, sheet, similarity
@@ -480,6 +482,73 @@ def detail_rows(spark, sf_dir):
     )
 
 
+@query
+def detail_rows_with_heads(spark, sf_dir):
+    """Detail rows where the commit lookups of toxic documents failed."""
+    inputs = t.inputs(spark, sf_dir)
+    labels = t.load(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("file_id"))
+    heads = inputs.files.join(labels, "file_id", "left_semi").select(
+        "file_id", F.concat(F.lit("head-"), "repo_name").alias("head_sha")
+    )
+    found = durable(matching.matches(inputs))
+    return publish.detail_rows(inputs.seeds, repo.results(found, inputs.files, inputs.commits, heads))
+
+
+@query
+def matches_by_answers(spark, sf_dir):
+    """A run on captured replies and answers; odd rows have no reply and are searched as usual."""
+    inputs = t.inputs(spark, sf_dir)
+    split = with_words(inputs.seeds.where("row_index % 2 = 0"), "code").where(F.size("words") >= 4)
+    pair = lambda i: F.concat_ws(" ", F.get("words", F.lit(i)), F.get("words", F.lit(i + 1)))
+    replies = split.select("row_index", F.to_json(F.array(pair(0), pair(2))).alias("reply"))
+    scanners = t.readmes(spark, sf_dir).select(
+        "repo_name", F.when(F.length("readme") > 2000, " yes\n").alias("answer")
+    )
+    quality = F.when(F.col("quality") == 1, "YES").otherwise("NO")
+    similar = t.load(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), quality.alias("answer"))
+    given = replace(
+        inputs,
+        given_patterns=pat.captured_patterns(replies),
+        scanner_answers=scanners,
+        similar_answers=similar,
+    )
+    return matching.matches(given).drop("flagged", "similar")
+
+
+def _faulty_sheet(spark, sf_dir) -> DataFrame:
+    """The seeds as a sheet read as text, in which row numbers are damaged or repeated, code has a
+    byte that isn't text, and some rows are finished."""
+    item = F.col("row_index") - 2
+    number = F.when(item % 7 == 3, F.concat(F.lit("row "), F.col("row_index").cast("string")))
+    number = number.when(item % 5 == 1, (F.col("row_index") - 1).cast("string"))
+    code = F.encode("code", "UTF-8")
+    return t.seeds(spark, sf_dir).select(
+        number.otherwise(F.col("row_index").cast("string")).alias("row_index"),
+        "cve_id",
+        F.when(item % 9 == 4, F.concat(F.unhex(F.lit("FF")), code)).otherwise(code).alias("code"),
+        F.when(item % 6 == 0, "an earlier result").otherwise("").alias("found"),
+    )
+
+
+def _row_status(spark, sf_dir) -> DataFrame:
+    checked = durable(sheet.with_errors(sheet.typed_rows(_faulty_sheet(spark, sf_dir))))
+    todo = sheet.pending(sheet.fine_rows(checked))
+    found = matching.matches(replace(t.inputs(spark, sf_dir), seeds=durable(todo)))
+    return sheet.row_status(checked, found)
+
+
+@query
+def row_status(spark, sf_dir):
+    """What a run does with each row of a faulty sheet."""
+    return _row_status(spark, sf_dir)
+
+
+@query
+def run_summary_with_errors(spark, sf_dir):
+    """Its counters: rows with an error aren't processed."""
+    return sheet.status_counters(_row_status(spark, sf_dir))
+
+
 @query
 def seed_funnel(spark, sf_dir):
     return matching.funnel(t.inputs(spark, sf_dir))

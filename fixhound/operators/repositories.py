@@ -184,10 +184,13 @@ def with_head_fallback(lookups: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def results(matches: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:
+def results(
+    matches: DataFrame, files: DataFrame, commits: DataFrame, heads: DataFrame | None = None
+) -> DataFrame:
     """The published fields of each match, with its rank per seed; `matches` is durable.
 
-    A file without commits keeps null in both commit fields.
+    `heads` holds the branch heads `(file_id, head_sha)` of files whose commit lookup failed; they
+    take the place of a commit. A file without commits keeps null in both commit fields.
     """
     shown = file_texts(matches, files, "file_path").select(
         "file_id",
@@ -195,7 +198,15 @@ def results(matches: DataFrame, files: DataFrame, commits: DataFrame) -> DataFra
         snippet(empty_if_null(F.col("content"))).alias("code_snippet"),
     )
     located = hot_key_join(matches, shown, "file_id", "inner", ["row_index", "repo_name"])
-    return with_commit(located, commits, sample=matches).select(
+    dated = with_commit(located, commits, sample=matches)
+    if heads is not None:
+        wanted = F.broadcast(matches.select("file_id").distinct()) if fits_broadcast(matches) else matches
+        failed = heads.join(wanted, "file_id", "left_semi").dropDuplicates(["file_id"])
+        dated = hot_key_join(dated, failed, "file_id", "left", ["row_index", "repo_name"], sample=matches)
+        dated = dated.withColumn("commit_sha", F.coalesce("head_sha", "commit_sha")).withColumn(
+            "commit_url", commit_url(F.col("repo_name"), F.col("commit_sha"))
+        )
+    return dated.select(
         "row_index",
         "rank",
         "repo_name",

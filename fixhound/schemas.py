@@ -67,6 +67,12 @@ FILE_COMMITS = _struct(
     file_id=LongType(), commit_id=LongType(), sha=StringType(), committed_at=TimestampType()
 )
 
+# Captured replies and answers, and heads of branches where a commit lookup failed.
+PATTERN_REPLIES = _struct(row_index=LongType(), reply=StringType())
+SCANNER_ANSWERS = _struct(repo_name=StringType(), answer=StringType())
+SIMILAR_ANSWERS = _struct(file_id=LongType(), answer=StringType())
+HEADS = _struct(file_id=LongType(), head_sha=StringType())
+
 # Columns of the published detail table, in their fixed order.
 DETAIL_COLUMNS = (
     "CVE ID",

@@ -16,6 +16,16 @@ def read_tables(
     }
 
 
+def jdbc_options(
+    url: str, name: str, split: dict[str, str] | None = None, **options: str
+) -> dict[str, str]:
+    """Reader options of one table; a split needs its column, both bounds and a number of parts."""
+    needed = {"partitionColumn", "lowerBound", "upperBound", "numPartitions"}
+    if split and set(split) != needed:
+        raise ValueError(f"a split of {name} needs {', '.join(sorted(needed))}")
+    return {"url": url, "dbtable": name, **options, **{k: str(v) for k, v in (split or {}).items()}}
+
+
 def read_jdbc_tables(
     spark: SparkSession,
     url: str,
@@ -31,9 +41,7 @@ def read_jdbc_tables(
     """
     split = partitions or {}
     return {
-        name: spark.read.format("jdbc")
-        .options(url=url, dbtable=name, **options, **split.get(name, {}))
-        .load()
+        name: spark.read.format("jdbc").options(**jdbc_options(url, name, split.get(name), **options)).load()
         for name in names
     }
 

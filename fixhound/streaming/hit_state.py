@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fixhound.operators import repositories as repo
 from fixhound.operators.indexed import indexed_places, search_patterns
 from fixhound.operators.search import HITS_PER_PATTERN, capped
-from fixhound.operators.sheet import has_code, pending, update_found
+from fixhound.operators.sheet import fine_rows, has_code, pending, update_found, with_errors
 from fixhound.operators.spread import durable, fits_broadcast, hot_key_join
 from fixhound.plans.matching import Inputs, shortlist, top_matches
 from fixhound.plans.publish import detail_rows, summary_cells
@@ -120,12 +120,12 @@ def run_incremental(
     """
     store = SheetStore(spark, sheet_path)
     sheet = store.read()
-    todo = durable(pending(sheet))
+    todo = durable(pending(fine_rows(with_errors(sheet))))
     patterns = durable(search_patterns(index, has_code(todo)))
     grouped = durable(repo.group_hits(state.hits_of(index, patterns)))
-    listed = shortlist(repo.with_repository(grouped, inputs.repos))
+    listed = shortlist(repo.with_repository(grouped, inputs.repos), inputs.scanner_answers)
     found = durable(top_matches(state.compared(index, listed, todo, inputs.files, min_share)))
-    published = durable(repo.results(found, inputs.files, inputs.commits))
+    published = durable(repo.results(found, inputs.files, inputs.commits, inputs.heads))
     append_details(detail_rows(todo, published), details_path, str(store.version()))
     store.save(update_found(sheet, summary_cells(todo, published)))
     return published
