@@ -8,8 +8,8 @@ its weights; the earliest of each coordinate is the signature. About K ln K + 2K
 for K coordinates, however long the text is; ranks are explored further where one stays empty.
 
 Two documents agree in a coordinate with the probability of their weighted Jaccard similarity. Documents
-that agree in a whole band meet in a bucket. In a bucket all are compared with its first and its
-last document. Documents that still share a bucket with another class are compared across classes only,
+that agree in a whole band meet in a bucket. In steps, all documents of a bucket are compared with
+one of it, and those that are linked have a label in common. Documents that still share a bucket with another class are compared across classes only,
 by their rarest shingles: where the first one that two documents share stands in both, in order of
 rarity, bounds how much they can share, and for each such place only documents of a size that the
 bound allows meet. Neither a large group of near copies nor one of different documents with a common
@@ -34,6 +34,9 @@ BANDS, ROWS = 20, 4
 _COORDINATES = BANDS * ROWS
 _DARTS = _COORDINATES * np.log(_COORDINATES) + 2 * _COORDINATES
 _FIRST_CELL = 0.25
+#: Steps in which buckets are compared with one of their documents: until a step links fewer than this
+#: share of the documents, and no more than this many.
+ROUNDS, FEW = 8, 0.002
 #: Bits of 64 in which the sketches of two documents of enough similarity differ at most. At a
 #: similarity of 0.8 the mean is 6.4 and the standard deviation 2.4.
 _SKETCH_BITS = 22
@@ -226,6 +229,30 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written.table(every.join(over, "label", "left").select("doc", F.coalesce("least", "label").alias("label")), "labels")
 
 
+def _pivot_pairs(placed: DataFrame, step: int) -> DataFrame:
+    """In each bucket, one document and all of other labels: pairs (a, b) that may be similar enough.
+
+    placed: doc, n, sketch, bucket, degree, label. The one is of the label that most of the bucket have,
+    in every second step of another; in it, the one that shares buckets with most documents first,
+    as the text does that the others are copies of, and by turns any other.
+    """
+    sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    first = F.struct("size", "label")
+    main = sizes.groupBy("bucket").agg(F.max(first).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    if step % 2:
+        others = sizes.join(main.select("bucket", F.col("m.label").alias("main")), "bucket").where("label != main")
+        main = others.groupBy("bucket").agg(F.max(first).alias("m"))
+    turn = F.col("degree") if step < 2 else F.xxhash64("doc", F.lit(step))
+    if step == 0:
+        # every document has a label of its own
+        heads = placed.join(main.select("bucket"), "bucket", "left_semi")
+    else:
+        heads = placed.join(main.select("bucket", F.col("m.label").alias("label")), ["bucket", "label"], "left_semi")
+    heads = heads.groupBy("bucket").agg(F.max(F.struct(turn.alias("turn"), "doc", "n", "sketch", "label")).alias("h"))
+    pairs = placed.join(heads, "bucket").where(F.col("label") != F.col("h.label")).alias("x").where(_near("x", "x.h"))
+    return pairs.select(F.least("x.h.doc", "x.doc").alias("a"), F.greatest("x.h.doc", "x.doc").alias("b")).distinct()
+
+
 def _leading(left: DataFrame, sets: DataFrame) -> DataFrame:
     """The rarest elements of each document, with their places: doc, n, sketch, label, element, place.
 
@@ -285,24 +312,18 @@ def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written.table(texts.select("digest", "least", "r.*", F.monotonically_increasing_id().alias("doc")), "distinct-texts")
     one = texts.where("n > 0").select("doc", "n", "sketch", F.explode("bands").alias("bucket"))
     heads = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = written.table(one.join(heads, "bucket", "left_semi"), "buckets")
+    met = one.join(heads, "bucket")
+    met = written.table(met.join(met.groupBy("doc").agg(F.sum("members").alias("degree")), "doc").drop("members"), "buckets")
     wanted = texts.select("doc", "digest").join(met.select("doc").distinct(), "doc", "left_semi")
     sources = docs.select(_digest().alias("digest"), "text").join(wanted, "digest").dropDuplicates(["doc"])
     sets = written.table(_shingle_sets(sources.select("doc", "text")), "shingle-sets")
-    labels = None
-    for order in (F.min, F.max):
-        # each document against one of every bucket that it is in, unless both have a label already
-        head = order(F.struct("doc", "n", "sketch")).alias("h")
-        heads = met.groupBy("bucket").agg(head)
-        pairs = met.join(heads, "bucket").where(F.col("doc") != F.col("h.doc")).alias("x").where(_near("x", "x.h"))
-        pairs = pairs.select(F.least("x.h.doc", "x.doc").alias("a"), F.greatest("x.h.doc", "x.doc").alias("b")).distinct()
-        if labels is not None:
-            for side in ("a", "b"):
-                pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}")), side, "left")
-            pairs = pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        labels = merged(labels, written.table(_verified(pairs, sets), "links"))
-    placed = met.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    placed = written.table(placed, "placed")
+    labels, placed = None, met.withColumn("label", F.col("doc"))
+    for step in range(ROUNDS):
+        found = written.table(_verified(_pivot_pairs(placed, step), sets), "links")
+        labels = merged(labels, found)
+        placed = written.table(met.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "placed")
+        if step > 1 and found.count() < FEW * placed.select("doc").distinct().count():
+            break
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     left = written.table(placed.join(mixed, "bucket", "left_semi").select("doc", "n", "sketch", "label").distinct(), "left")
     more = written.table(_verified(_across(left, sets), sets), "links")
