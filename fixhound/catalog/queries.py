@@ -206,7 +206,7 @@ def pending_seeds(spark, sf_dir):
 
 @query
 def seed_patterns(spark, sf_dir):
-    return t.inputs(spark, sf_dir).patterns()
+    return t.plain_inputs(spark, sf_dir).patterns()
 
 
 @query
@@ -344,8 +344,7 @@ def repos_unknown_kept(spark, sf_dir):
     """Only repositories with many stars are known; hits in the others stay."""
     inputs = t.inputs(spark, sf_dir)
     known = repo.star_filter(inputs.repos, min_stars=MIN_STARS)
-    given = matching.Inputs(inputs.seeds, inputs.files, known, inputs.commits)
-    return repo.drop_flagged(matching.candidates(given)).drop("flagged")
+    return repo.drop_flagged(matching.candidates(replace(inputs, repos=known))).drop("flagged")
 
 
 @query
@@ -507,7 +506,7 @@ def matches_by_answers(spark, sf_dir):
     quality = F.when(F.col("quality") == 1, "YES").otherwise("NO")
     similar = t.load(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_id"), quality.alias("answer"))
     given = replace(
-        inputs,
+        t.plain_inputs(spark, sf_dir),
         given_patterns=pat.captured_patterns(replies),
         scanner_answers=scanners,
         similar_answers=similar,
@@ -533,7 +532,7 @@ def _faulty_sheet(spark, sf_dir) -> DataFrame:
 def _row_status(spark, sf_dir) -> DataFrame:
     checked = durable(sheet.with_errors(sheet.typed_rows(_faulty_sheet(spark, sf_dir))))
     todo = sheet.pending(sheet.fine_rows(checked))
-    found = matching.matches(replace(t.inputs(spark, sf_dir), seeds=durable(todo)))
+    found = matching.matches(replace(t.plain_inputs(spark, sf_dir), seeds=durable(todo)))
     return sheet.row_status(checked, found)
 
 
@@ -562,9 +561,7 @@ def _resumed(spark, sf_dir):
     ).withColumn("url", tx.repo_url(F.col("repo_name")))
     done = durable(sheet.update_found(inputs.seeds, publish.summary_cells(inputs.seeds, before)))
     todo = sheet.pending(done)
-    found = matching.matches(
-        matching.Inputs(todo, inputs.files, inputs.repos, inputs.commits)
-    ).withColumn("url", tx.repo_url(F.col("repo_name")))
+    found = matching.matches(replace(inputs, seeds=todo)).withColumn("url", tx.repo_url(F.col("repo_name")))
     return done, todo, durable(found)
 
 

@@ -8,6 +8,7 @@ repository, `labels` for what is known of files, `events` for commits of files.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+def plain_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         seeds(spark, sf_dir),
         files(spark, sf_dir),
@@ -145,10 +146,21 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     )
 
 
-# Of each session and folder of tables: an index belongs to its corpus and serves all queries.
+# Of each session and folder of tables: patterns and index belong to their corpus and serve all queries.
+_PATTERNS: dict[tuple[str, str], DataFrame] = {}
 _INDEXES: dict[tuple[str, str], PairIndex] = {}
 
 
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The tables with the seeds' patterns, which are taken from the corpus when first asked for
+    and kept as a table; `plain_inputs` takes them anew."""
+    plain = plain_inputs(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PATTERNS:
+        _PATTERNS[key] = plain.patterns()
+    return replace(plain, given_patterns=_PATTERNS[key])
+
+
 def corpus_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The corpus as it arrives: two thirds of the files, then the others."""
     whole = files(spark, sf_dir)

@@ -48,6 +48,8 @@ class Inputs:
         asked = given.join(seeds.select("row_index"), "row_index", "left_semi")
         others = seeds.join(given.select("row_index"), "row_index", "left_anti")
         columns = ["row_index", "pattern_no", "pattern"]
+        if others.isEmpty():
+            return durable(asked.select(columns))
         return durable(asked.select(columns).unionByName(self._rare(others).select(columns)))
 
     def _rare(self, seeds: DataFrame) -> DataFrame:
