@@ -36,7 +36,7 @@ PARTS = {
                          WHERE pattern IN (SELECT pattern FROM own) GROUP BY pattern)
           USING (pattern))
         WHERE pattern_no <= 5),
-      patterns AS (
+      patterns AS MATERIALIZED (
         SELECT row_index, pattern_no, pattern FROM rare
         UNION ALL SELECT row_index, 1, w[1] FROM seeds WHERE len(w) = 1)""",
     "hits": """hits AS (
@@ -104,7 +104,7 @@ PARTS = {
         FROM seeds LEFT JOIN matches USING (row_index) GROUP BY row_index)""",
 }
 
-PARTS["given_patterns"] = PARTS["patterns"].replace("patterns AS (", "plain AS (") + """,
+PARTS["given_patterns"] = PARTS["patterns"].replace("patterns AS MATERIALIZED (", "plain AS (") + """,
       patterns AS (
         SELECT * FROM plain WHERE row_index % 2 = 1
           OR row_index IN (SELECT row_index FROM seeds WHERE len(w) < 4)
@@ -140,6 +140,23 @@ PARTS["faulty"] = """numbered AS (
             ELSE 'none_found' END AS status
         FROM messages)"""
 
+PARTS["learned"] = """counts AS MATERIALIZED (
+        SELECT file_id, word, count(*) AS n FROM (SELECT file_id, unnest(w) AS word FROM files) GROUP BY ALL),
+      taught AS (
+        SELECT file_id, toxic = 1 AS scanner FROM files JOIN labels ON doc_id = file_id WHERE file_id % 2 = 0),
+      per_word AS (
+        SELECT word, coalesce(sum(n) FILTER (scanner), 0) AS yes, coalesce(sum(n) FILTER (NOT scanner), 0) AS no
+        FROM counts JOIN taught USING (file_id) GROUP BY word),
+      sizes AS (
+        SELECT count(*) AS v, sum(yes) AS in_yes, sum(no) AS in_no FROM per_word),
+      model AS (
+        SELECT word, ln((yes + 1) / (no + 1)) AS ratio FROM per_word),
+      learned AS (
+        SELECT file_id AS repo_name,
+          sum(n * (coalesce(ratio, 0) + (SELECT ln((in_no + v + 1) / (in_yes + v + 1)) FROM sizes)))
+            + (SELECT ln(count_if(scanner) / count_if(NOT scanner)) FROM taught) AS score
+        FROM counts LEFT JOIN model USING (word) GROUP BY file_id)"""
+
 _PATTERNS = ("seeds", "files", "pairs", "patterns")
 _FOUND = (*_PATTERNS, "hits", "capped")
 _ENTRIES = (*_FOUND, "repos", "entries")
@@ -328,6 +345,17 @@ CHECKS: dict[str, str] = {
         """SELECT * EXCLUDE (flagged) FROM entries WHERE repo_name NOT IN
             (SELECT repo_name FROM readmes WHERE length(readme) > 2000)""",
     ),
+    "scanners_learned": _with(
+        ("files", "learned"),
+        """SELECT file_id AS repo_name, round(score, 4) AS score, coalesce(score > 0, false) AS flagged
+          FROM files LEFT JOIN learned ON learned.repo_name = file_id""",
+    ),
+    "scanners_agreement": _with(
+        ("files", "learned"),
+        """SELECT toxic = 1 AS scanner, count(*) AS answers,
+            count_if(coalesce(score > 0, false) = (toxic = 1)) AS agreed
+          FROM labels LEFT JOIN learned ON repo_name = doc_id WHERE doc_id % 2 = 1 GROUP BY toxic""",
+    ),
     "candidates_top10": _with(_LISTED, "SELECT * FROM listed"),
     "validated_candidates": _with(_ACCEPTED, "SELECT * FROM accepted"),
     "validated_by_share": _with((*_LISTED, "shingles", "by_share"), "SELECT * FROM by_share"),

@@ -14,7 +14,7 @@ from fixhound.functions import text as tx
 from fixhound.functions.grams import with_words
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
-from fixhound.operators import indexed, search, sheet, similarity
+from fixhound.operators import indexed, search, sheet, similarity, verdicts
 from fixhound.operators.spread import durable
 from fixhound.plans import fix_report as report
 from fixhound.plans import matching, publish
@@ -368,6 +368,33 @@ def repos_not_flagged_answers(spark, sf_dir):
     return repo.drop_flagged_by_answers(entries, answers).drop("flagged")
 
 
+def _learned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every document as a repository's README, labelled toxic ones as scanners; verdicts learned from
+    even documents, and all answers."""
+    texts = t.files(spark, sf_dir).select(F.col("file_id").alias("repo_name"), F.col("content").alias("text"))
+    labels = t.load(spark, sf_dir, "labels")
+    answers = labels.select(F.col("doc_id").alias("repo_name"), F.when(F.col("toxic") == 1, " Yes").otherwise("no").alias("answer"))
+    model = verdicts.fit_verdicts(texts, answers.where("repo_name % 2 = 0"))
+    return verdicts.learned_verdicts(texts, model), answers
+
+
+@query
+def scanners_learned(spark, sf_dir):
+    learned, _ = _learned(spark, sf_dir)
+    return learned.select("repo_name", F.round("score", 4).alias("score"), "flagged")
+
+
+@query
+def scanners_agreement(spark, sf_dir):
+    """How often a learned verdict agrees with an answer that it wasn't learned from."""
+    learned, answers = _learned(spark, sf_dir)
+    held_out = learned.join(answers.where("repo_name % 2 = 1"), "repo_name")
+    said = tx.is_flagged(F.col("answer"))
+    return held_out.groupBy(said.alias("scanner")).agg(
+        F.count("*").alias("answers"), F.count_if(F.col("flagged") == said).alias("agreed")
+    )
+
+
 @query
 def candidates_top10(spark, sf_dir):
     return matching.shortlist(matching.candidates(t.inputs(spark, sf_dir))).drop("flagged")
