@@ -392,6 +392,25 @@ CHECKS: dict[str, str] = {
           WHERE shared >= {MIN_SHARE} * seed_shingles
           GROUP BY seed_text, content, shared, seed_shingles, file_shingles""",
     ),
+    "similar_classes": """WITH RECURSIVE texts AS (
+        SELECT min(doc_id) AS doc, count(*) AS n_files, regexp_extract_all(lower(text), '\\S+') AS w
+        FROM documents GROUP BY text),
+      shingles AS (
+        SELECT DISTINCT doc, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS shingle
+        FROM (SELECT doc, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+      sizes AS (SELECT doc, count(*) AS n FROM shingles GROUP BY doc),
+      links AS MATERIALIZED (
+        SELECT a, b FROM (
+          SELECT x.doc AS a, y.doc AS b, count(*) AS shared
+          FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc <> y.doc GROUP BY ALL)
+        JOIN sizes p ON p.doc = a JOIN sizes q ON q.doc = b
+        WHERE shared / (p.n + q.n - shared) >= 0.8),
+      reached AS (
+        SELECT doc AS a, doc AS b FROM texts
+        UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+      labels AS (SELECT a AS doc, min(b) AS label FROM reached GROUP BY a)
+      SELECT label AS class_id, count(*) AS n_texts, CAST(sum(n_files) AS BIGINT) AS n_files
+      FROM texts JOIN labels USING (doc) GROUP BY label""",
     "matches_top5": _with(_MATCHES, "SELECT * FROM matches"),
     "matches_in_rounds": _with(
         _MATCHES,

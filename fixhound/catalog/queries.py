@@ -14,7 +14,7 @@ from fixhound.functions import text as tx
 from fixhound.functions.grams import with_words
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
-from fixhound.operators import indexed, search, sheet, similarity, verdicts
+from fixhound.operators import classes, indexed, search, sheet, similarity, verdicts
 from fixhound.operators.spread import durable
 from fixhound.plans import fix_report as report
 from fixhound.plans import matching, publish
@@ -460,6 +460,17 @@ def similar_pairs(spark, sf_dir):
     return similarity.similar_pairs(t.seeds(spark, sf_dir), t.files(spark, sf_dir), MIN_SHARE)
 
 
+@query
+def similar_classes(spark, sf_dir):
+    return classes.similar_classes(t.files(spark, sf_dir))
+
+
+@query
+def similar_classes_lsh(spark, sf_dir):
+    """The same by MinHash bands, which may miss a link; no check, as the hashes are Spark's."""
+    return classes.similar_classes(t.files(spark, sf_dir), exact=False)
+
+
 # Jobs
 
 

@@ -22,7 +22,8 @@ def test_query_equals_check(spark, tables, name):
 
 
 def test_every_query_has_a_check():
-    assert set(QUERIES) == set(CHECKS)
+    # MinHash bands hang on Spark's hash; they are compared with the exact classes in test_classes
+    assert set(QUERIES) - set(CHECKS) == {"similar_classes_lsh"} and set(CHECKS) <= set(QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
