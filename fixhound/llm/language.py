@@ -44,6 +44,10 @@ def _fold_table() -> np.ndarray:
     return _folded[0]
 
 
+#: Rows that are counted at a time, however short: 64 MB of counts.
+_ROWS = 512
+
+
 def grams(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each order, the buckets of all n-grams and their texts' rows; and each text's letters."""
     data, offsets = utf8(texts)
@@ -100,7 +104,7 @@ def _document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(BUCKETS + 1, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text", 1 << 16):
+            for part in slices(batch, "text", 1 << 16, _ROWS):
                 buckets, rows, letters = grams(part.column("text"))
                 seen = np.zeros((len(letters), BUCKETS), bool)
                 for bucket, row in zip(buckets, rows):
@@ -176,7 +180,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 16):
+            for part in slices(batch, "text", 1 << 16, _ROWS):
                 buckets, rows, letters = grams(part.column("text"))
                 counts = np.zeros((len(letters), BUCKETS), np.int32)
                 for bucket, row in zip(buckets, rows):

@@ -6,6 +6,11 @@ the piece that begins earlier wins, and a lone unknown character comes last. A c
 piece of its own costs the lowest score of the vocabulary less 10 and counts as its UTF-8 bytes
 where the vocabulary has byte pieces, else a run of such characters counts as one piece.
 
+The one public file with scored pieces, the default here, is a BPE model: its scores are ranks of
+merges, read as if they were log probabilities. Counts are thus those of the unigram cut of its
+vocabulary, which the tests compare with a library's unigram model; that model's own BPE encoding
+has other counts. Any unigram file can be given instead.
+
 No piece goes on past a space, so a text is handled in parts that begin at spaces, and each
 distinct part is computed once while it is remembered.
 """

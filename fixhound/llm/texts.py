@@ -87,13 +87,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(column) else (data[:0], np.zeros(1, np.int64))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about `max_bytes` of text, one row at least each."""
+def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 1 << 20, max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about `max_bytes` of text and of `max_rows` rows, one row at least each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     filled, begin = np.cumsum(sizes), 0
     while begin < len(sizes):
         done = filled[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(filled, done + max_bytes, "right")))
+        end = max(begin + 1, min(begin + max_rows, int(np.searchsorted(filled, done + max_bytes, "right"))))
         yield batch.slice(begin, end - begin)
         begin = end
 
