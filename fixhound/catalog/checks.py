@@ -227,6 +227,35 @@ _PHRASES = _with(
       FROM runs WHERE pattern IN (SELECT pattern FROM given)""",
 )
 
+_FINGERPRINTS = r"""WITH texts AS (
+      SELECT 'file' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT 'seed', item_id + 2, coalesce(text, '') FROM benchmark),
+    kept AS (
+      SELECT word FROM (
+        SELECT DISTINCT id, unnest(regexp_extract_all(text, '[\p{L}_][\p{L}\p{N}_]*')) AS word
+        FROM texts WHERE kind = 'file')
+      GROUP BY word ORDER BY count(*) DESC, word LIMIT 500),
+    tokens AS (
+      SELECT kind, id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS place
+      FROM (SELECT kind, id, regexp_extract_all(
+              text, '[\p{L}_][\p{L}\p{N}_]*|\p{N}+|[^\p{L}\p{N}_\x09-\x0D\x20]') AS w
+            FROM texts)),
+    folded AS (
+      SELECT kind, id, list(CASE WHEN word IS NOT NULL THEN token
+          WHEN regexp_matches(token, '^\p{N}') THEN '0'
+          WHEN regexp_matches(token, '^[\p{L}_]') THEN 'v' ELSE token END ORDER BY place) AS w
+      FROM tokens LEFT JOIN kept ON token = word GROUP BY kind, id),
+    runs AS (
+      SELECT kind, id, len(w) AS n_tokens, list_transform(
+        range(1, greatest(1, len(w) - 7) + 1),
+        lambda i: CAST('0x' || md5(array_to_string(w[i:i + 7], ' '))[1:15] AS BIGINT)) AS h
+      FROM folded),
+    prints AS MATERIALIZED (
+      SELECT kind, id, coalesce(n_tokens, 0) AS n_tokens, coalesce(list_sort(list_distinct(list_transform(
+        range(1, greatest(1, len(h) - 5) + 1), lambda i: list_min(h[i:i + 5])))), []) AS prints
+      FROM texts LEFT JOIN runs USING (kind, id))
+    """
+
 CHECKS: dict[str, str] = {
     "fix_report_sql": f"{_REPORT} ORDER BY cve_id",
     "fix_report_semi": f"{_REPORT} ORDER BY cve_id",
@@ -411,6 +440,21 @@ CHECKS: dict[str, str] = {
       labels AS (SELECT a AS doc, min(b) AS label FROM reached GROUP BY a)
       SELECT label AS class_id, count(*) AS n_texts, CAST(sum(n_files) AS BIGINT) AS n_files
       FROM texts JOIN labels USING (doc) GROUP BY label""",
+    "file_fingerprints": _FINGERPRINTS
+    + """SELECT id AS file_id, n_tokens, len(prints) AS n_prints,
+          md5(array_to_string(prints, ' ')) AS prints_md5
+        FROM prints WHERE kind = 'file'""",
+    "renamed_copies": _FINGERPRINTS
+    + """, sets AS (
+          SELECT kind, min(id) AS id, count(*) AS n, prints FROM prints WHERE len(prints) > 0
+          GROUP BY kind, prints)
+        SELECT row_index, n_seeds, file_id, n_files, shared, seed_prints, file_prints,
+          shared / seed_prints AS share
+        FROM (SELECT s.id AS row_index, s.n AS n_seeds, f.id AS file_id, f.n AS n_files,
+                len(list_intersect(s.prints, f.prints)) AS shared,
+                len(s.prints) AS seed_prints, len(f.prints) AS file_prints
+              FROM sets s JOIN sets f ON s.kind = 'seed' AND f.kind = 'file')
+        WHERE shared >= 0.5 * seed_prints""",
     "matches_top5": _with(_MATCHES, "SELECT * FROM matches"),
     "matches_in_rounds": _with(
         _MATCHES,

@@ -14,7 +14,7 @@ from fixhound.functions import text as tx
 from fixhound.functions.grams import with_words
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
-from fixhound.operators import classes, indexed, search, sheet, similarity, verdicts
+from fixhound.operators import classes, fingerprints, indexed, search, sheet, similarity, verdicts
 from fixhound.operators.spread import durable
 from fixhound.plans import fix_report as report
 from fixhound.plans import matching, publish
@@ -471,6 +471,20 @@ def similar_classes_lsh(spark, sf_dir):
     return classes.similar_classes(t.files(spark, sf_dir), exact=False)
 
 
+@query
+def file_fingerprints(spark, sf_dir):
+    """All fingerprints of a file, put together as a digest."""
+    files = t.files(spark, sf_dir)
+    prints = fingerprints.file_prints(files, fingerprints.common_words(files))
+    digest = F.md5(F.array_join("prints", " "))
+    return prints.select("file_id", "n_tokens", F.size("prints").alias("n_prints"), digest.alias("prints_md5"))
+
+
+@query
+def renamed_copies(spark, sf_dir):
+    return fingerprints.renamed_copies(t.seeds(spark, sf_dir), t.files(spark, sf_dir))
+
+
 # Jobs
 
 
