@@ -41,29 +41,42 @@ def _folded(token: Column, kept: list[str]) -> Column:
     )
 
 
-def _hashed(tokens: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.array_join(tokens, " ")), 1, 15), 16, 10).cast("bigint")
+def _hashed(run: Column) -> Column:
+    return F.conv(F.substring(F.md5(run), 1, 15), 16, 10).cast("bigint")
+
+
+def _joined(df: DataFrame, name: str, shift: int, join) -> DataFrame:
+    """Each item joined with that `shift` places on; as many fewer items.
+
+    Whole lists are moved at a time: cutting a piece out for every place would copy the list as often.
+    """
+    count = F.greatest(F.size(name) - F.lit(shift), F.lit(0))
+    paired = F.zip_with(F.slice(name, F.lit(1), count), F.slice(name, F.lit(shift + 1), count), join)
+    return df.withColumn(name, paired)
 
 
 def with_prints(df: DataFrame, text: str, kept: list[str]) -> DataFrame:
     """Replace `text` by `n_tokens` and `prints`, its distinct fingerprints in ascending order.
 
     Null and blank texts have no token and no print. A text below RUN tokens is one run, one below
-    RUN + WINDOW - 1 tokens one window. Each step is a column of its own that is read twice,
-    so no step is computed again for every place.
+    RUN + WINDOW - 1 tokens one window. Runs of 8 are put together from those of 2 and 4, windows
+    of 6 from those of 2 and 4.
     """
     others = [c for c in df.columns if c != text]
     read = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
     folded = df.select(*others, F.transform(read, lambda t: _folded(t, kept)).alias("_tokens"))
-    places = lambda name, width: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(name) - F.lit(width - 1)))
-    runs = F.transform(places("_tokens", RUN), lambda i: _hashed(F.slice("_tokens", i, F.lit(RUN))))
-    none = F.array().cast("array<bigint>")
-    hashed = folded.select(
-        *others, F.size("_tokens").alias("n_tokens"), F.when(F.size("_tokens") > 0, runs).otherwise(none).alias("_runs")
-    )
-    least = F.transform(places("_runs", WINDOW), lambda i: F.array_min(F.slice("_runs", i, F.lit(WINDOW))))
-    prints = F.when(F.size("_runs") > 0, F.array_sort(F.array_distinct(least))).otherwise(none)
-    return hashed.select(*others, "n_tokens", prints.alias("prints"))
+    runs = folded.select(*others, F.size("_tokens").alias("n_tokens"), "_tokens", F.col("_tokens").alias("_runs"))
+    for shift in (1, 2, 4):
+        runs = _joined(runs, "_runs", shift, lambda left, right: F.concat(left, F.lit(" "), right))
+    short = F.when(F.col("n_tokens") > 0, F.array(F.array_join("_tokens", " "))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.col("n_tokens") >= RUN, F.col("_runs")).otherwise(short)
+    hashed = runs.select(*others, "n_tokens", F.transform(whole, _hashed).alias("_runs"))
+    least = hashed.withColumn("_least", F.col("_runs"))
+    for shift in (1, 2, 2):
+        least = _joined(least, "_least", shift, lambda left, right: F.least(left, right))
+    single = F.slice(F.array_sort("_runs"), 1, 1)
+    prints = F.when(F.size("_runs") >= WINDOW, F.array_sort(F.array_distinct("_least"))).otherwise(single)
+    return least.select(*others, "n_tokens", prints.alias("prints"))
 
 
 def file_prints(files: DataFrame, kept: list[str]) -> DataFrame:
