@@ -85,7 +85,11 @@ def file_prints(files: DataFrame, kept: list[str]) -> DataFrame:
 
 
 def _distinct_sets(prints: DataFrame, key: str, name: str, count: str) -> DataFrame:
-    """Texts with the same prints are one: `name` (the least key), `count`, `prints`."""
+    """Texts with the same prints are one: `name` (the least key), `count`, `prints`.
+
+    `prints` is durable: a condition on prints that are yet to be made would be moved below each of
+    their steps, with a copy of all that goes before.
+    """
     texts = prints.where(F.size("prints") > 0)
     digests = texts.select(key, F.sha2(F.array_join("prints", " "), 256).alias("digest"))
     heads = digests.groupBy("digest").agg(F.min(key).alias(key), F.count("*").alias(count)).drop("digest")
@@ -113,7 +117,8 @@ def renamed_copies(seeds: DataFrame, files: DataFrame, kept: list[str] | None =
     words = common_words(files) if kept is None else kept
     prints = durable(file_prints(files, words))
     sets = durable(_distinct_sets(prints, "file_id", "file_id", "n_files"))
-    own = durable(_distinct_sets(with_prints(seeds.select("row_index", "code"), "code", words), "row_index", "seed", "n_seeds"))
+    asked_for = durable(with_prints(seeds.select("row_index", "code"), "code", words))
+    own = durable(_distinct_sets(asked_for, "row_index", "seed", "n_seeds"))
     rows = sets.select("file_id", F.explode("prints").alias("print"))
     asked = own.select("seed", F.size("prints").alias("n"), F.explode("prints").alias("print"))
     held = _met(rows, asked.select("print").distinct()).groupBy("print").agg(F.count("*").alias("n_files"))
