@@ -475,6 +475,11 @@ CHECKS: dict[str, str] = {
         """SELECT row_index, cve_id, code, cells.found
           FROM seeds JOIN cells USING (row_index)""",
     ),
+    "found_column_touched_files": _with(
+        (*_MATCHES, "cells"),
+        """SELECT row_index, cve_id, code, cells.found
+          FROM seeds JOIN cells USING (row_index)""",
+    ),
     "detail_rows": _with(
         _MATCHES,
         """SELECT cve_id AS "CVE ID", 'Unknown' AS "Vulnerability Type",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,9 +16,10 @@ from fixhound.functions.grams import with_words
 from fixhound.operators import patterns as pat
 from fixhound.operators import repositories as repo
 from fixhound.operators import classes, fingerprints, indexed, search, sheet, similarity, verdicts
-from fixhound.operators.spread import durable
+from fixhound.operators.spread import durable, shared_folder
 from fixhound.plans import fix_report as report
 from fixhound.plans import matching, publish
+from fixhound.sources.sheet_table import SheetTable
 from fixhound.sources.tables import register_views
 from fixhound.streaming.hit_state import HitState
 
@@ -524,6 +526,16 @@ def found_column_update(spark, sf_dir):
     return sheet.update_found(t.seeds(spark, sf_dir), cells)
 
 
+@query
+def found_column_touched_files(spark, sf_dir):
+    """The same by a stored sheet of eight files, of which those with a new cell are rewritten."""
+    _, cells = _published_cells(spark, sf_dir)
+    stored = SheetTable(spark, f"{shared_folder(spark)}/sheet-{uuid.uuid4().hex}")
+    stored.create(t.seeds(spark, sf_dir), 8)
+    stored.update(cells)
+    return stored.read()
+
+
 @query
 def detail_rows(spark, sf_dir):
     inputs = t.inputs(spark, sf_dir)
