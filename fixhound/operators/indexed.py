@@ -47,23 +47,59 @@ def indexed_places(index: PairIndex, patterns: DataFrame) -> DataFrame:
     marks are later. A file counts with its newest version.
     """
     grams = durable(pattern_grams(patterns))
-    met = _met(index, grams, grams.agg(F.min("mark")).first()[0] or 0).where("version > mark")
-    short = met.where("needed = 1").select(
-        "pattern", "version", "block", F.explode(F.array_distinct("files")).alias("file")
-    )
+    newer_than = grams.agg(F.min("mark")).first()[0] or 0
+    met = _met(index, grams.where("needed = 1"), newer_than).where("version > mark")
+    short = met.select("pattern", "version", "block", F.explode(F.array_distinct("files")).alias("file"))
     held = short.select("pattern", "version", _file("file"))
     if not grams.where("needed > 1").isEmpty():
-        long = met.where("needed > 1").select(
-            "pattern", "version", "needed", "block", "shift", F.inline(F.arrays_zip("files", "places"))
-        )
-        starts = long.groupBy(
-            "pattern", "version", "needed", _file("files"), (F.col("places") - F.col("shift")).alias("start")
-        ).agg(F.count("*").alias("n"))
-        whole = starts.where(F.col("n") == F.col("needed"))
-        held = held.unionByName(whole.select("pattern", "version", "file_id").distinct())
+        held = held.unionByName(_long_places(index, grams.where("needed > 1"), newer_than))
     return _current(index, held)
 
 
+def _long_places(index: PairIndex, grams: DataFrame, newer_than: int) -> DataFrame:
+    """`pattern, version, file_id` of patterns of several pairs.
+
+    The places of a pattern's rarest pair are taken, then those of them that the second rarest stands
+    beside, then those that all others do. Lists of the other pairs are never multiplied by patterns.
+    """
+    counted = _met(index, grams.select("gram").distinct(), newer_than).groupBy("gram").agg(F.sum("n_files").alias("n_files"))
+    rarest = Window.partitionBy("pattern", "mark").orderBy("n_files", "shift")
+    ranked = hot_key_join(grams, counted, "gram", "inner", ["pattern"]).withColumn("rank", F.row_number().over(rarest))
+    # a pattern with a pair that is nowhere is nowhere
+    known = F.count("*").over(Window.partitionBy("pattern", "mark"))
+    ranked = durable(ranked.withColumn("known", known).where("known = needed").drop("known", "n_files"))
+    first = _met(index, ranked.where("rank = 1"), newer_than).where("version > mark")
+    places = first.select("pattern", "mark", "version", "block", "shift", F.inline(F.arrays_zip("files", "places")))
+    start = (F.col("places") - F.col("shift")).cast("bigint").alias("start")
+    left = places.select("pattern", "mark", "version", "block", F.col("files").cast("bigint").alias("file"), start)
+    left = _beside(index, durable(left), ranked.where("rank = 2"), newer_than)
+    if not ranked.where("rank > 2").isEmpty():
+        more = ranked.where("needed > 2").select("pattern", "mark").distinct()
+        whole = left.join(more, ["pattern", "mark"], "left_anti")
+        left = whole.unionByName(_beside(index, left.join(more, ["pattern", "mark"], "left_semi"), ranked.where("rank > 2"), newer_than))
+    return left.select("pattern", "version", _file("file")).distinct()
+
+
+def _beside(index: PairIndex, starts: DataFrame, grams: DataFrame, newer_than: int) -> DataFrame:
+    """The starts of patterns at which all of `grams` stand at their distances. Durable.
+
+    Lists are narrowed to the places asked for before they are unfolded.
+    """
+    on = ["gram", "version", "block"]
+    key = ["pattern", "mark", "version", "block", "file", "start"]
+    packed = (F.shiftleft("file", 32) + F.col("start") + F.col("shift")).alias("at")
+    wanted = grams.select("pattern", "mark", "shift", "gram")
+    wanted = F.broadcast(wanted) if fits_broadcast(wanted, "gram") else wanted
+    asked = durable(starts.join(wanted, ["pattern", "mark"]).select(*key, "gram", packed))
+    sets = asked.groupBy(*on).agg(F.collect_set("at").alias("asked"))
+    lists = _met(index, grams.select("gram").distinct(), newer_than).select(*on, "files", "places")
+    pack = F.zip_with("files", "places", lambda f, p: F.shiftleft(f.cast("bigint"), 32) + p)
+    found = lists.join(sets, on).select(*on, F.explode(F.array_intersect("asked", pack)).alias("at"))
+    needed = grams.groupBy("pattern", "mark").agg(F.count("*").alias("needed"))
+    held = asked.join(found, [*on, "at"]).groupBy(*key).agg(F.count("*").alias("n"))
+    return durable(held.join(needed, ["pattern", "mark"]).where("n = needed").select(*key))
+
+
 def _current(index: PairIndex, held: DataFrame) -> DataFrame:
     """Without files of which there is a newer version; with their repositories."""
     held = durable(held)

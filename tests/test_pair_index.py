@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fixhound.catalog import tables as t
 from fixhound.operators import indexed, patterns, search
 from fixhound.plans.matching import Inputs
 from fixhound.plans.publish import summary_cells
+from fixhound.sources import pair_index
 from fixhound.sources.pair_index import PairIndex
 from fixhound.sources.snapshots import SheetStore
 from fixhound.streaming.hit_state import HitState, run_incremental
@@ -155,3 +157,30 @@ def test_incremental_runs_equal_one_run_over_texts(spark, tmp_path):
     assert state.shares().count() == shares
 
 
+
+
+def test_postings_are_gathered_where_texts_are(spark, tmp_path, monkeypatch):
+    """One exchange deals out texts, none postings; chunks of any size hold the same places."""
+    _, files = corpus(spark)
+    index = PairIndex(spark, str(tmp_path / "index"), range_bits=2)
+    assert len(re.findall(r"Exchange ", plan_of(index._posted(files)))) == 1
+    texts = [(300, ["a", "b", "a", "b"]), (2, None), (1, ["a"]), (7, []), (5, ["b", "a", "b"])]
+    batch = pa.RecordBatch.from_pylist([{"file_id": f, "words": w} for f, w in texts], pa.schema([("file_id", pa.int64()), ("words", pa.list_(pa.string()))]))
+    wanted = {(w[i], f, i) for f, w in texts for i in range(len(w or []))} | {(f"{w[i]} {w[i + 1]}", f, i) for f, w in texts for i in range(len(w or []) - 1)}
+    for size in (1, 4, 1 << 20):
+        monkeypatch.setattr(pair_index, "GATHERED_WORDS", size)
+        rows = [r for b in pair_index._gathered(iter([batch, batch.slice(5)])) for r in b.to_pylist()]
+        assert {(r["gram"], r["block"] * pair_index.BLOCK_FILES + f, p) for r in rows for f, p in zip(r["files"], r["places"])} == wanted
+        assert all(r["n_files"] == len(set(r["files"])) for r in rows)
+
+
+def test_lists_of_common_pairs_are_not_multiplied_by_phrases(spark, tmp_path, monkeypatch):
+    """Many phrases around one common pair: only the places of each phrase's rarest pair are unfolded."""
+    texts = [(k, "r", "p", " ".join(f"x{k}_{i} of the y{k}_{i}" for i in range(20))) for k in range(50)]
+    phrases = spark.createDataFrame([(f"x{k}_3 of the y{k}_3",) for k in range(50)], "pattern string")
+    index = PairIndex(spark, str(tmp_path / "index"), range_bits=2)
+    index.append(spark.createDataFrame(texts, FILES))
+    sizes, beside = [], indexed._beside
+    monkeypatch.setattr(indexed, "_beside", lambda i, starts, *a: sizes.append(starts.count()) or beside(i, starts, *a))
+    assert rows_of(indexed.indexed_places(index, phrases)) == sorted([(f"x{k}_3 of the y{k}_3", k, "r") for k in range(50)], key=str)
+    assert sizes == [50, 50]
