@@ -22,15 +22,20 @@ _SKETCH_ITEMS = 1024
 _SKETCH_GROUPS = 64
 
 
+def measured_bytes(df: DataFrame, text: str | None = None) -> int:
+    """About how large `df` is: one aggregate; `text` names its only wide column."""
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    rows, octets = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return rows * _ROW_BYTES + octets
+
+
 def fits_broadcast(df: DataFrame, text: str | None = None) -> bool:
     """Measure `df`: is it small enough to be sent to every executor?
 
-    One aggregate; `text` names its only wide column. Used for frames that grow with the
-    seeds, such as their patterns. Callers have another way for those that are too large.
+    Used for frames that grow with the seeds, such as their patterns. Callers have another way for
+    those that are too large.
     """
-    size = F.sum(F.octet_length(text)) if text else F.lit(0)
-    rows, octets = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return rows * _ROW_BYTES + octets <= BROADCAST_BYTES
+    return measured_bytes(df, text) <= BROADCAST_BYTES
 
 
 def heavy_keys(df: DataFrame, key: str, from_rows: int | None = None) -> list:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from fixhound.operators import spread, verdicts
+from tests.test_plans import plan_of
 
 TEXTS = [
     ("a", "Scan scan all the code"), ("b", "scanner to scan sites"), ("c", "a web shop for the books"),
@@ -53,3 +54,18 @@ def test_answers_come_before_verdicts_and_unknown_stays(spark):
     learned = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("f", True), ("g", False)], "repo_name string, flagged boolean")
     answers = spark.createDataFrame([("a", "no"), ("b", "yes"), ("c", None)], "repo_name string, answer string")
     assert sorted(r.repo_name for r in verdicts.drop_learned(entries, learned, answers).collect()) == ["a", "g", "x"]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 300, 1])
+def test_words_are_not_shuffled_and_parts_of_the_model_add_up(spark, monkeypatch, limit):
+    """The model goes whole, in two parts, or, as it takes too many parts, meets the words in a shuffle."""
+    texts, answers = frames(spark)
+    model = verdicts.fit_verdicts(texts, answers)
+    monkeypatch.setattr(spread, "BROADCAST_BYTES", limit)
+    learned = verdicts.learned_verdicts(texts, model)
+    plan = plan_of(learned)
+    assert ("hashpartitioning(word" in plan) == (limit == 1)
+    if limit > 1:
+        assert ("Union" in plan) == (limit == 300)
+    got = {r.repo_name: r.score for r in learned.collect()}
+    assert all(got[name] == (score if score is None else pytest.approx(score)) for name, score in expected().items())
