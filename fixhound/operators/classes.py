@@ -15,12 +15,16 @@ Exact copies are one text, so a class of a million copies is compared once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fixhound.functions.grams import SHINGLE_WORDS, ngrams, with_words
 from fixhound.operators.search import file_texts
-from fixhound.operators.spread import durable
+from fixhound.operators.spread import durable, fits_broadcast
 
 MIN_JACCARD = 0.8
 #: At a similarity of 0.8, a pair shares no band once in 1,600.
@@ -47,26 +51,77 @@ def by_rarest(sets: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
     first common one is at `place`; m is at least s n.
     """
     every = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
-    held = every.groupBy("bucket").agg(F.count("*").alias("df"))
-    listed = every.join(held, "bucket").groupBy("doc", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("order")
+    held = every.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles that no other text has come first, so only the others are put in order
+    whole = Window.partitionBy("doc", "n")
+    shared = every.join(held, "bucket").withColumns(
+        {"at": F.row_number().over(whole.orderBy("df", "bucket")), "shared": F.count("*").over(whole)}
     )
+    place = F.greatest(F.col("n") - F.col("shared"), F.lit(0)) + F.col("at") - 1
     length = F.col("n") - F.ceil(F.lit(min_jaccard) * F.col("n") - F.lit(1e-9)) + 1
-    front = F.slice("order", F.lit(1), length.cast("int"))
-    rows = listed.select("doc", "n", F.posexplode(front).alias("place", "e"))
-    return rows.where("e.df > 1").select("doc", "n", F.col("e.bucket").alias("bucket"), "place")
+    return shared.withColumn("place", place.cast("int")).where(F.col("place") < length).select("doc", "n", "bucket", "place")
+
+
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
+
+
+def seeded(hashes: np.ndarray, seeds: int) -> Iterator[np.ndarray]:
+    """`xxhash64(hash, seed)` as Spark gives it, for each seed; the part before the seed is computed once."""
+    with np.errstate(over="ignore"):
+        first = (np.uint64(42) + _P5 + np.uint64(8)) ^ (_turned(hashes.view(np.uint64) * _P2, 31) * _P1)
+        begun = _mixed(_turned(first, 27) * _P1 + _P4) + _P5 + np.uint64(4)
+        for seed in range(seeds):
+            yield _mixed(_turned(begun ^ (np.uint64(seed) * _P1), 23) * _P2 + _P3).view(np.int64)
+
+
+def _signatures(seeds: int, gathered: int = 1 << 16):
+    """The least hash of each set for each seed, some sets at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("shingles").offsets.to_numpy().astype(np.int64)
+            hashes = batch.column("shingles").values.to_numpy()
+            least = np.empty((batch.num_rows, seeds), np.int64)
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + gathered, "right")) - 1)
+                part = hashes[offsets[begin] : offsets[end]]
+                for seed, values in enumerate(seeded(part, seeds)):
+                    least[begin:end, seed] = np.minimum.reduceat(values, offsets[begin:end] - offsets[begin])
+                begin = end
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * seeds)
+            yield pa.record_batch([batch.column("doc"), batch.column("n"), pa.ListArray.from_arrays(ends, pa.array(least.ravel()))], ["doc", "n", "least"])
+
+    return run
 
 
 def by_bands(sets: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """`doc, n, bucket`: hashes of the bands of a text's MinHash signature, with what at least two share."""
-    least = lambda seed: F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(seed))))
-    keys = [F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)]
-    placed = sets.where(F.size("shingles") > 0).select("doc", F.size("shingles").alias("n"), F.explode(F.array(*keys)).alias("bucket"))
+    numbered = sets.where(F.size("shingles") > 0).select("doc", F.size("shingles").alias("n"), "shingles")
+    signed = numbered.mapInArrow(_signatures(bands * rows), "doc bigint, n int, least array<bigint>")
+    keys = [F.xxhash64(F.lit(b), *[F.get("least", F.lit(b * rows + r)) for r in range(rows)]) for b in range(bands)]
+    placed = durable(signed.select("doc", "n", F.array(*keys).alias("buckets"))).select("doc", "n", F.explode("buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     return placed.join(shared.select("bucket"), "bucket", "left_semi")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, min_jaccard: float) -> DataFrame:
+    pairs = durable(pairs)
+    met = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    # only sets that are compared are shuffled
+    sets = sets.join(F.broadcast(met) if fits_broadcast(met) else met, "doc", "left_semi")
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -105,8 +160,8 @@ def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     return durable(labels.join(over, "label", "left").select("doc", F.coalesce("least", "label").alias("label")))
 
 
-def _with_one(placed: DataFrame, step: int) -> DataFrame:
-    """Pairs of a bucket's documents with one of it that has another label.
+def _with_one(placed: DataFrame, step: int, min_jaccard: float) -> DataFrame:
+    """Pairs of a bucket's documents with one of it that has another label and is not too large or small.
 
     First the one with most neighbours in buckets, then of the main label and of the others by turns.
     """
@@ -119,8 +174,9 @@ def _with_one(placed: DataFrame, step: int) -> DataFrame:
     else:
         chosen = mixed
     turn = F.col("degree") if step < 2 else F.xxhash64("doc", F.lit(step))
-    ones = chosen.groupBy("bucket").agg(F.max(F.struct(turn.alias("turn"), "doc", "label")).alias("one"))
+    ones = chosen.groupBy("bucket").agg(F.max(F.struct(turn.alias("turn"), "doc", "label", "n")).alias("one"))
     met = mixed.join(ones, "bucket").where(F.col("label") != F.col("one.label"))
+    met = met.where(F.least("n", "one.n") >= F.lit(min_jaccard) * F.greatest("n", "one.n") - F.lit(1e-6))
     return met.select(F.least("doc", "one.doc").alias("a"), F.greatest("doc", "one.doc").alias("b")).distinct()
 
 
@@ -164,7 +220,7 @@ def similar_classes(files: DataFrame, min_jaccard: float = MIN_JACCARD, exact: b
     met = durable(met.join(degree, "doc"))
     labels = sets.select("doc", F.col("doc").alias("label"))
     for step in range(STEPS):
-        links = durable(_similar(_with_one(met.join(labels, "doc"), step), sets, min_jaccard))
+        links = durable(_similar(_with_one(met.join(labels, "doc"), step, min_jaccard), sets, min_jaccard))
         if step and links.isEmpty():
             break
         labels = _with_links(labels, links)

@@ -1,9 +1,11 @@
 """Classes of similar files against brute force."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fixhound.catalog import tables as t
 from fixhound.operators import classes
+from tests.test_plans import plan_of
 
 FILES = "file_id bigint, content string, label int, n int, bucket string"
 
@@ -87,3 +89,27 @@ def test_a_common_passage_multiplies_nothing(spark, monkeypatch):
 def test_no_files(spark):
     assert result(spark, []) == []
     assert result(spark, [], exact=False) == []
+
+
+def test_signatures_are_sparks_hashes(spark):
+    sets = spark.createDataFrame([(1, [5, -7, 2**62, 0]), (2, [-(2**63), 2**63 - 1]), (3, [9])], "doc bigint, shingles array<bigint>").repartition(2)
+    numbered = sets.select("doc", F.size("shingles").alias("n"), "shingles")
+    hashed = lambda seed: lambda s: F.xxhash64(s, F.lit(seed))
+    for gathered in (1, 1 << 16):
+        made = numbered.mapInArrow(classes._signatures(8, gathered), "doc bigint, n int, least array<bigint>").join(sets, "doc")
+        least = F.array(*[F.array_min(F.transform("shingles", hashed(k))) for k in range(8)])
+        assert made.where(F.col("least") == least).count() == 3
+
+
+def test_bands_are_hashed_once_and_unshared_shingles_are_not_gathered(spark):
+    sets = spark.createDataFrame([(k, [k, k + 1, 100, 200]) for k in range(0, 60, 2)], "doc bigint, shingles array<bigint>")
+    assert "MapInArrow" not in plan_of(classes.by_bands(sets))
+    assert "collect_list" not in plan_of(classes.by_rarest(sets))
+    # of four shingles, the first of an order by rarity stand in front: two that no other text has
+    assert classes.by_rarest(sets, 0.5).select("place").distinct().collect() == [(2,)]
+
+
+def test_pairs_of_very_different_sizes_are_not_compared(spark):
+    rows = [(1, 10, 7, 1, 2), (2, 100, 7, 2, 2), (3, 95, 7, 3, 1)]
+    placed = spark.createDataFrame(rows, "doc bigint, n int, bucket bigint, label bigint, degree bigint")
+    assert {tuple(r) for r in classes._with_one(placed, 0, 0.8).collect()} == {(2, 3)}
