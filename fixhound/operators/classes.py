@@ -214,7 +214,7 @@ def similar_classes(files: DataFrame, min_jaccard: float = MIN_JACCARD, exact: b
     found is a true one, and a few may be missing.
     """
     sets = durable(distinct_texts(files))
-    met = by_rarest(sets, min_jaccard) if exact else by_bands(sets)
+    met = durable(by_rarest(sets, min_jaccard) if exact else by_bands(sets))
     members = met.groupBy("bucket").agg(F.count("*").alias("members"))
     degree = met.join(members, "bucket").groupBy("doc").agg(F.sum("members").alias("degree"))
     met = durable(met.join(degree, "doc"))
