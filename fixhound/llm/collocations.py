@@ -34,6 +34,8 @@ NO_LANGUAGE = "und"
 GROUP_SUFFIXES = 1 << 18
 #: Bits of the tables of frequent words and pairs: 4 MB each.
 TABLE_BITS = 25
+#: Bytes of text that a task takes at a time; its arrays take about 80 times that.
+SLICE_BYTES = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -105,7 +107,7 @@ def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _over_slices(work: Callable[[Words], pa.RecordBatch | None]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes=2 << 20):
+            for part in slices(batch, max_bytes=SLICE_BYTES):
                 words = Words(part)
                 if len(words.hashes):
                     yield from work(words)

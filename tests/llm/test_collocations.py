@@ -1,9 +1,11 @@
 """Collocations against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fixhound.llm import collocations
@@ -81,3 +83,14 @@ def test_subtree_totals():
     levels = [np.array([0, 0, 0, 1]), np.array([7, 7, 8, 7]), np.array([1, 1, 1, 1]), np.array([0, 2, 0, 2])]
     nodes = [(depth, at.tolist(), total.tolist()) for depth, at, total in collocations.subtree(levels, np.array([3, 4, 5, 6]))]
     assert nodes == [(2, [0, 2, 3], [7, 5, 6]), (3, [1, 3], [4, 6])]
+
+
+def test_a_slice_takes_bounded_memory():
+    line = "one two three four. five six, seven eight nine ten "
+    batch = pa.record_batch([pa.array([line * 400] * 300), pa.array(["en"] * 300)], ["text", "lang"])
+    tracemalloc.start()
+    try:
+        assert sum(len(p) for p in collocations._over_slices(lambda words: [words.pairs()])([batch])) == 300 * 400 * 10
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
