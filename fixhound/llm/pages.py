@@ -1,17 +1,19 @@
-"""Main text of web pages: structure where a page marks its article, differencing where it doesn't.
+"""Main text of web pages: differencing of neighbouring pages, and structure where a page marks its article.
 
 Pages are cut into blocks at block-level tags. Parts that are never an article (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id) go. Of a page
-with an article or main element that element's blocks are the text. Of the others, pages of a
+footers, sidebars, notices, adverts, forms, comments, by tag, role, class or id) go. All pages of a
 host are ordered by URL path, so the page with the nearest path is next to each; the two pages'
-lines are aligned by their longest common subsequence, and lines that both have are deleted as
-the site's own. If a pair shares most of its text, the pages are copies rather than siblings and
-the neighbour on the other side is taken instead, or none.
+lines are aligned by their longest common subsequence, and lines that both have are the site's own
+and deleted. If a pair shares most of its text, the pages are copies rather than siblings and
+the neighbour on the other side is taken instead, or none. Of a page with an article or main element,
+blocks outside of it go as well, and its paragraphs, headings, lists and tables stay though a neighbour
+has them too: there differencing decides on blocks of no such kind (`div`, `section`, `center`).
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -39,6 +41,8 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that say nothing of what they hold.
+_PLAIN = frozenset("div section center".split())
 _INLINE_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _GONE_TAGS = frozenset("nav footer aside form menu dialog button head search".split())
 _GONE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -164,53 +168,61 @@ def _mains_below(nodes: list[_Node]) -> bool:
     return False
 
 
-def _blocks(nodes: list[_Node]) -> list[str]:
-    """Blocks of text below the nodes, without the dropped parts."""
+#: What differencing may do with a line: nothing, as it's outside of the page's article and goes anyhow; delete it; nothing, as it's the article's.
+OUTSIDE, OPEN, ARTICLE = range(3)
+_OWN = ARTICLE + 1  # text of the mark itself, where plain blocks are open
+
+
+def marked_lines(page: str) -> tuple[list[str], list[int]]:
+    """All blocks of the page but those of dropped parts, and the kind of each; all are open if it marks no article."""
+    root = parse(page)
+    mains = {id(node) for node in _mains(root)}
     out: list[str] = []
+    kinds: list[int] = []
     held: list[str] = []
+    kind = outside = OUTSIDE if mains else OPEN
 
     def close() -> None:
+        nonlocal kind
         line = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if line:
             out.append(line)
-
-    # (node, at, whether only headings count)
-    for top in nodes:
-        stack: list[tuple[_Node, int, bool]] = [(top, 0, False)]
-        while stack:
-            node, at, titles = stack.pop()
-            if at == len(node.parts):
-                if node.tag in _BLOCKS:
-                    close()
-                continue
-            stack.append((node, at + 1, titles))
-            part = node.parts[at]
-            if isinstance(part, str):
-                if not titles:
-                    held.append(part)
-                continue
-            if part.gone or (part.odd and not part.holds):
-                if part.tag in _BLOCKS:
-                    close()
-                continue
+            kinds.append(min(kind, ARTICLE))
+        kind = outside
+
+    # (node, at, whether only headings count, kind of its texts)
+    stack: list[tuple[_Node, int, bool, int]] = [(root, 0, False, outside)]
+    while stack:
+        node, at, titles, own = stack.pop()
+        if at == len(node.parts):
+            if node.tag in _BLOCKS or id(node) in mains:
+                close()
+            continue
+        stack.append((node, at + 1, titles, own))
+        part = node.parts[at]
+        if isinstance(part, str):
+            if not titles:
+                held.append(part)
+                if part.strip():
+                    kind = max(kind, own)
+            continue
+        if part.gone or (part.odd and not part.holds):
             if part.tag in _BLOCKS:
                 close()
-            heading = part.tag in _HEADINGS
-            stack.append((part, 0, (titles or part.tag == "header") and not heading and not part.main))
-        close()
-    return out
-
-
-def article(page: str) -> list[str] | None:
-    """Blocks of the page's article or main elements; None if it has none."""
-    mains = _mains(parse(page))
-    return _blocks(mains) if mains else None
-
-
-def lines(page: str) -> list[str]:
-    """All blocks of the page but those of dropped parts."""
-    return _blocks([parse(page)])
+            continue
+        inner = own
+        if id(part) in mains:
+            inner = _OWN
+        elif mains and own != OUTSIDE and part.tag in _BLOCKS:
+            # a plain block in a list item or table stays the article's
+            inner = OPEN if part.tag in _PLAIN and own != ARTICLE else ARTICLE
+        if part.tag in _BLOCKS or id(part) in mains:
+            close()
+        heading = part.tag in _HEADINGS
+        stack.append((part, 0, (titles or part.tag == "header") and not heading and not part.main, inner))
+    close()
+    return out, kinds
 
 
 def common_lines(a: list[str], b: list[str]) -> list[int]:
@@ -244,15 +256,16 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return [*range(start), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
-def without_shared(page: list[str], others: list[tuple[str, list[str]]]) -> list[str]:
-    """The page's lines less those in common with the first of `others` (path, lines) that is no copy of it."""
-    for _, other in others:
+def without_shared(page: list[str], kinds: list[int], others: list[list[str]]) -> list[str]:
+    """The page's lines less those outside its article and the open ones in common with the first of `others` that is no copy of it."""
+    gone: set[int] = set()
+    for other in others:
         shared = common_lines(page, other)
         size = sum(len(page[i]) for i in shared)
         if size <= COPY_SHARE * min(sum(map(len, page)), sum(map(len, other))):
             gone = set(shared)
-            return [line for i, line in enumerate(page) if i not in gone]
-    return page
+            break
+    return [line for i, (line, kind) in enumerate(zip(page, kinds)) if kind == ARTICLE or (kind == OPEN and i not in gone)]
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -263,7 +276,7 @@ def _common_prefix(a: str, b: str) -> int:
 _RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def _result(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+def _result(ids: tuple, urls: tuple, texts: tuple[str, ...]) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
         ["page_id", "url", "text", "n_chars"],
@@ -278,44 +291,40 @@ def extract(pages: DataFrame) -> DataFrame:
     never cut short.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    marked = F.col("html").rlike(r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?main")
-
-    def structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "html"):
-                found = [article(page) for page in part.column("html").to_pylist()]
-                texts = ["\n".join(lines(page) if blocks is None else blocks) for blocks, page in zip(found, part.column("html").to_pylist())]
-                yield _result(part.column("page_id").to_pylist(), part.column("url").to_pylist(), texts)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for part in slices(batch, "html"):
-                made = [lines(page) for page in part.column("html").to_pylist()]
-                yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(made, pa.list_(pa.string()))], ["page_id", "url", "lines"])
+                for row in part.to_pylist():
+                    row["lines"], row["kinds"] = marked_lines(row.pop("html"))
+                    yield row
 
     def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of host and path; each is kept until its next neighbour is known."""
+        made: list[tuple] = []
+        size = 0
         before = now = None
-        for row in (row for batch in batches for row in batch.to_pylist()):
+        for row in itertools.chain(rows(batches), [None]):
             if now is not None:
-                yield _closest(before, now, row)
+                made.append((now["page_id"], now["url"], _closest(before, now, row)))
+                size += len(made[-1][2])
+                if size >= 1 << 20 or len(made) >= 1000:
+                    yield _result(*zip(*made))
+                    made, size = [], 0
             before, now = now, row
-        if now is not None:
-            yield _closest(before, now, None)
+        if made:
+            yield _result(*zip(*made))
 
-    plain = pages.where(~marked).select("page_id", "url", "html").mapInArrow(cut, "page_id bigint, url string, lines array<string>")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.\-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.\-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
-    ordered = plain.select("page_id", "url", host.alias("host"), path.alias("path"), "lines")
+    ordered = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
     keys = ["host", "path", "page_id", "url"]
-    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    first = pages.where(marked).mapInArrow(structured, _RESULT)
-    return first.unionByName(ordered.mapInArrow(differenced, _RESULT))
+    # the texts are cut behind the shuffle: dealing by ranges reads what comes before it twice
+    return ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(differenced, _RESULT)
 
 
-def _closest(before: dict | None, page: dict, after: dict | None) -> pa.RecordBatch:
-    """The page's result, by its neighbours of the same host, that with the longer common path first."""
+def _closest(before: dict | None, page: dict, after: dict | None) -> str:
+    """The page's text, by its neighbours of the same host, that with the longer common path first."""
     beside = [n for n in (before, after) if n is not None and n["host"] == page["host"]]
     beside.sort(key=lambda n: -_common_prefix(n["path"], page["path"]))
-    text = "\n".join(without_shared(page["lines"], [(n["path"], n["lines"]) for n in beside]))
-    return _result([page["page_id"]], [page["url"]], [text])
+    return "\n".join(without_shared(page["lines"], page["kinds"], [n["lines"] for n in beside]))

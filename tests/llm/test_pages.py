@@ -38,6 +38,23 @@ def test_shared_lines_go(spark):
     assert got[50].text.startswith("Our site") and "the same" in got[60].text and "the same" in got[61].text
 
 
+def test_marked_pages_are_differenced(spark):
+    """Shared blocks of no kind go, the article's paragraphs, headings and lists stay though shared."""
+    page = lambda own: (
+        "<body><div>Our site</div><article><h1>Notes</h1><div>Read us for three euros a month</div><p>" + own + "</p><div>last words on " + own + "</div>"
+        "<h2>Sources</h2><ul><li>the same<div>in a list</div></ul><p>the same</p></article><p>All rights reserved</p>"
+    )
+    rows = [(i, f"http://h/news/{i}", page(f"story number {i} " + f"is told here {i * 7} " * 20)) for i in range(12)]
+    got = texts(spark, rows)
+    alone = 0
+    for i in range(12):
+        lines = got[i].text.split("\n")
+        alone += lines.pop(1).startswith("Read us") if lines[1].startswith("Read us") else 0
+        own = f"story number {i} " + f"is told here {i * 7} " * 20
+        assert lines == ["Notes", own.strip(), f"last words on {own}".strip(), "Sources", "the same", "in a list", "the same"]
+    assert alone <= 1
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_common_lines_are_longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
