@@ -1,15 +1,18 @@
 """Quality rules with DataFrame functions only: counts, and divergence from a language's usual text.
 
-A document's share of character classes and of common words is compared with the references of
+A document's shares of character classes and of all its words are compared with the references of
 all languages by Jensen-Shannon distance (base-2 divergence, 0 to 1). References are the shares
-over all documents of a language; common words are the short words that make up much of one.
-A document is rejected if it is far from every language, and long enough for that to mean
-something. Everything is computed row by row but for one aggregation that gives the references.
+over all documents of a language, whatever the length and number of a word. A document is rejected if
+it is far from every language, and long enough for that to mean something.
+
+Words that a language has often are sent to the documents; the others are dealt out by word together
+with the words of the documents that aren't among the frequent ones. A document and a language that share no word
+are at distance 1, and each word that both have lessens the divergence; so only those are looked up, and
+what they add is summed by text. Words and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -23,21 +26,20 @@ from .stores import written
 NAMES = ("plain", "white", "upper", "stops", "other")
 _PLAIN_OR_WHITE = r"[\p{Ll}0-9\x20\x09-\x0D]+"
 _STOPS = r"[.,;:!?'\"()\-]+"
-WORD_LENGTH = 5
-#: A common word makes up this share of a language's words at least; so there are 1/COMMON of them at most.
-COMMON = 0.004
+#: Words that make up this share of a language at least, 1/OFTEN of them at most, are sent to the documents.
+OFTEN = 1e-6
 #: Documents are judged on characters from this many of them on, on words from this many on.
 LEAST_CHARS, LEAST_WORDS = 100, 150
 #: A document is rejected beyond these distances (square roots of divergences).
-FAR_CHARS, FAR_WORDS = 0.2, 0.31
+FAR_CHARS, FAR_WORDS = 0.2, 0.91
 
 
 @dataclass
 class References:
-    """Shares by language: of character classes and of common words."""
+    """Shares by language: of character classes; and of words, as a table of hash, shares (in the order of `chars`) and often."""
 
     chars: dict[str, list[float]] = field(default_factory=dict)
-    words: dict[str, dict[str, float]] = field(default_factory=dict)
+    words: DataFrame | None = None
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -64,25 +66,27 @@ def with_words(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> References:
     """References from all of `docs` (text, lang); rows without a language don't count."""
     seen = with_words(docs.where("lang is not null").select("lang", "text"))
-    pair = lambda key, n: F.struct(key.alias("key"), n.cast("bigint").alias("n"))
-    short = F.transform(F.filter("_words", lambda w: F.length(w) <= WORD_LENGTH), lambda w: pair(w, F.lit(1)))
-    rest = F.array(*[pair(F.lit(f" {n}"), F.col(f"_{n}")) for n in NAMES], pair(F.lit(" words"), F.col("_n")))
-    counted = seen.select("lang", F.explode(F.concat(short, rest)).alias("x")).groupBy("lang", F.col("x.key").alias("key")).agg(F.sum("x.n").alias("n"))
+    # class 0: words; the others: lengths of character classes, and the number of words
+    entry = lambda kind, key, n: F.struct(F.lit(kind).cast("tinyint").alias("kind"), key.cast("bigint").alias("hash"), n.cast("bigint").alias("n"))
+    words = F.transform("_words", lambda w: entry(0, F.xxhash64(w), F.lit(1)))
+    sizes = [entry(k, F.lit(0), F.col(f"_{n}")) for k, n in enumerate((*NAMES, "n"), 1)]
+    # outer: else Spark asks first whether there is an element, and makes all of them twice
+    counted = seen.select("lang", F.explode_outer(F.concat(words, F.array(*sizes))).alias("x"))
+    counted = counted.groupBy("lang", F.col("x.kind").alias("kind"), F.col("x.hash").alias("hash")).agg(F.sum("x.n").alias("n"))
     counted = written.table(counted, "quality-counts")
-    total: dict[str, dict[str, int]] = {}
-    for r in counted.where("key like ' %'").collect():
-        total.setdefault(r["lang"], {})[r["key"][1:]] = r["n"]
+    total: dict[str, list[int]] = {}
+    for r in counted.where("kind > 0").collect():
+        total.setdefault(r["lang"], [0] * (len(NAMES) + 1))[r["kind"] - 1] = r["n"]
     out = References()
-    filled = [lang for lang, t in sorted(total.items()) if t["words"]]
+    filled = [lang for lang, t in sorted(total.items()) if t[-1]]
     if not filled:
         return out
-    least = reduce(lambda a, lang: a.when(F.col("lang") == lang, COMMON * total[lang]["words"]), filled, F.when(F.lit(False), 0.0))
-    common = counted.where("key not like ' %'").where((F.col("n") >= least) & F.col("key").rlike(r"\p{L}")).select("key").distinct()
-    shares = counted.where("key not like ' %'").join(F.broadcast(common), "key", "left_semi").collect()
     for lang in filled:
-        chars = sum(total[lang][n] for n in NAMES)
-        out.chars[lang] = [total[lang][n] / chars for n in NAMES]
-        out.words[lang] = {r["key"]: r["n"] / total[lang]["words"] for r in shares if r["lang"] == lang}
+        sizes = total[lang][:-1]
+        out.chars[lang] = [n / sum(sizes) for n in sizes]
+    share = [F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("n"))), F.lit(0)) / F.lit(float(total[lang][-1])) for lang in filled]
+    shares = counted.where("kind = 0").groupBy("hash").agg(F.array(*share).alias("shares"))
+    out.words = written.table(shares.withColumn("often", F.array_max("shares") >= OFTEN), "quality-words")
     return out
 
 
@@ -92,54 +96,49 @@ def _term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / middle)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / middle)).otherwise(0.0)
 
 
-def _adder(k: int) -> Callable[[Column, Column], Column]:
-    """Adds a common word of the document to the sums over language `k`."""
-
-    def add(a: Column, s: Column) -> Column:
-        q = F.get(s["q"], F.lit(k))
-        return F.struct((a["t"] + _term(s["p"], q)).alias("t"), (a["q"] + q).alias("q"))
-
-    return add
-
-
 def _distance(twice: Column) -> Column:
     return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
 
-def with_distances(seen: DataFrame, known: References) -> DataFrame:
-    """`_far_chars` and `_far_words`: distances from the nearest language; 0 where none is known."""
+def with_char_distances(seen: DataFrame, known: References) -> DataFrame:
+    """`_far_chars`: distance from the nearest language by character classes; 0 where none is known."""
     if not known.chars:
-        return seen.withColumns({"_far_chars": F.lit(0.0), "_far_words": F.lit(0.0)})
+        return seen.withColumn("_far_chars", F.lit(0.0))
     chars = reduce(lambda a, b: a + b, [F.col(f"_{n}") for n in NAMES])
     seen = seen.withColumn("_chars", F.greatest(chars, F.lit(1)))
     each = []
     for shares in known.chars.values():
         terms = [_term(F.col(f"_{n}") / F.col("_chars"), F.lit(q)) for n, q in zip(NAMES, shares)]
         each.append(_distance(reduce(lambda a, b: a + b, terms)))
-    seen = seen.withColumn("_far_chars", F.array_min(F.array(*each)))
-    every = sorted({w for words in known.words.values() for w in words})
-    if not every:
-        return seen.withColumn("_far_words", F.lit(0.0))
-    languages = list(known.words)
-    share_of = F.create_map(*[x for w in every for x in (F.lit(w), F.array(*[F.lit(known.words[lang].get(w, 0.0)) for lang in languages]))])
-    seen = seen.withColumn("_common", F.sort_array(F.filter("_words", lambda w: w.isin(every))))
-    seen = seen.withColumn("_kinds", F.array_distinct("_common"))
-    seen = seen.withColumn("_at", F.concat(F.transform("_kinds", lambda w: F.array_position("_common", w)), F.array(F.size("_common").cast("bigint") + 1)))
-    n = F.greatest(F.col("_n"), F.lit(1))
-    seen = seen.withColumn(
-        "_shares",
-        F.transform("_kinds", lambda w, i: F.struct(((F.get("_at", i + 1) - F.get("_at", i)) / n).alias("p"), F.element_at(share_of, w).alias("q"))),
-    )
-    each = []
-    for k, lang in enumerate(languages):
-        whole = sum(known.words[lang].values())
-        start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("q"))
-        summed = F.aggregate("_shares", start, _adder(k))
-        others = _term(1 - F.size("_common") / n, F.lit(max(1 - whole, 0.0)))
-        each.append((summed, others, whole))
-    seen = seen.withColumns({f"_sum{k}": s for k, (s, _, _) in enumerate(each)})
-    far = [_distance(F.col(f"_sum{k}")["t"] + F.greatest(F.lit(whole) - F.col(f"_sum{k}")["q"], F.lit(0.0)) + others) for k, (_, others, whole) in enumerate(each)]
-    return seen.withColumn("_far_words", F.array_min(F.array(*far)))
+    return seen.withColumn("_far_chars", F.array_min(F.array(*each)))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _word_distances(texts: DataFrame, known: References) -> DataFrame:
+    """`_text` (hash) and `_far_words` of every different text of `texts` (text)."""
+    hashed = F.transform(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    sorted_ = texts.where("text is not null").select(_text_hash().alias("_text"), F.sort_array(hashed).alias("all"))
+    places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (F.get("all", i) != F.get("all", i - 1)))
+    begun = sorted_.select("_text", "all", F.size("all").alias("n"), F.when(F.size("all") > 0, places).alias("at"))
+    runs = F.transform("at", lambda p, j: F.struct(F.get("all", p).alias("hash"), (F.coalesce(F.get("at", j + 1), F.col("n")) - p).alias("k")))
+    kinds = begun.select("_text", "n", F.explode_outer(runs).alias("x")).select("_text", (F.col("x.k") / F.col("n")).alias("p"), F.col("x.hash").alias("hash"))
+    often, rare = (known.words.where(c).select("hash", "shares") for c in ("often", "not often"))
+    common = kinds.join(F.broadcast(often), "hash")
+    others = kinds.join(F.broadcast(often.select("hash")), "hash", "left_anti").join(rare, "hash")
+    less = []
+    for k in range(len(known.chars)):
+        q = F.get("shares", F.lit(k))
+        less.append(F.when(q > 0, F.col("p") * F.log2(1 + q / F.col("p")) + q * F.log2(1 + F.col("p") / q)).otherwise(0.0).alias(f"less{k}"))
+    # a row for each copy of a text, whether it has words or not
+    copies = texts.select(_text_hash().alias("_text"), *[F.lit(0.0).alias(f"less{k}") for k in range(len(less))], F.lit(1).alias("copies"))
+    parts = [rows.select("_text", *less, F.lit(0).alias("copies")) for rows in (common, others)]
+    sums = copies.unionByName(parts[0]).unionByName(parts[1]).groupBy("_text")
+    sums = sums.agg(F.sum("copies").alias("copies"), *[F.sum(f"less{k}").alias(f"less{k}") for k in range(len(less))])
+    each = [_distance(2 - F.col(f"less{k}") / F.col("copies")) for k in range(len(less))]
+    return sums.select("_text", F.array_min(F.array(*each)).alias("_far_words"))
 
 
 def _repeated(seen: DataFrame) -> DataFrame:
@@ -165,22 +164,33 @@ def judge(docs: DataFrame, known: References) -> DataFrame:
     of `docs` with these names are replaced.
     """
     given = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "far_chars", "far_words", "kept")]
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in given]).alias("_row"))
-    seen = with_distances(_repeated(with_words(rows)), known)
+    # told apart from the columns made here, and one by one, so that none is shuffled that isn't asked for
+    rows = docs.select("text", *[F.col(f"`{c}`").alias(f"_given{k}") for k, c in enumerate(given)])
+    seen = with_char_distances(_repeated(with_words(rows)), known)
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     seen = seen.withColumn("_lines", lines)
-    failed = (F.col("_n") < 10) | (100 * F.col("_repeat") > 20 * F.col("_n"))
     chars = reduce(lambda a, b: a + b, [F.col(f"_{n}") for n in NAMES])
-    far = ((chars >= LEAST_CHARS) & (F.col("_far_chars") > FAR_CHARS)) | ((F.col("_n") >= LEAST_WORDS) & (F.col("_far_words") > FAR_WORDS))
-    return seen.select(
-        "_row.*",
+    counts = seen.select(
+        *[f"_given{k}" for k in range(len(given))],
+        _text_hash().alias("_text"),
         F.col("_n").cast("bigint").alias("n_words"),
         F.col("_solid").cast("bigint").alias("word_chars"),
         F.col("_marks").cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"),
-        failed.alias("base_failed"),
+        chars.alias("_chars"),
         F.col("_far_chars").alias("far_chars"),
-        F.col("_far_words").alias("far_words"),
+    )
+    if known.words is None:
+        counts = counts.withColumn("far_words", F.lit(0.0))
+    else:
+        counts = counts.join(_word_distances(docs.select("text"), known), "_text").withColumnRenamed("_far_words", "far_words")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    far = ((F.col("_chars") >= LEAST_CHARS) & (F.col("far_chars") > FAR_CHARS)) | ((F.col("n_words") >= LEAST_WORDS) & (F.col("far_words") > FAR_WORDS))
+    return counts.select(
+        *[F.col(f"_given{k}").alias(c) for k, c in enumerate(given)],
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        failed.alias("base_failed"),
+        *("far_chars", "far_words"),
         (~failed & ~far).alias("kept"),
     )

@@ -238,6 +238,29 @@ def test_quality_verdict(spark):
     assert not got[99] and all(got[i] for i in range(len(good)))
 
 
+def test_quality_distances_of_all_words(spark):
+    """Brute force over all words, long and rare ones too; copies and texts without words included."""
+    texts = [(i, " ".join(w + "tail" * (int(w[1:]) % 2) for w in prose(i, 60, 500)), "en" if i % 2 else "de") for i in range(12)]
+    texts += [(20, texts[0][1], "de"), (21, None, "en"), (22, " \n", None), (23, "unheard of words only", None), (24, "loneword " * 3, "fr")]
+    rows = spark.createDataFrame([(i, t, lang, 1, 0.5, "x") for i, t, lang in texts], SCHEMA)
+    used = {lang: Counter(w for _, t, own in texts if own == lang for w in WORD.findall(t or "")) for lang in ("de", "en", "fr")}
+
+    def distance(p, q):
+        term = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0
+        shares = [(p[w] / max(p.total(), 1), q[w] / q.total()) for w in {*p, *q}]
+        return math.sqrt(max(sum(term(a, b) + term(b, a) for a, b in shares) / 2, 0))
+
+    known = quality.references(rows)
+    for split in (known, quality.References(known.chars, known.words.withColumn("often", quality.F.col("hash") % 2 == 0))):
+        got = {r.doc_id: r.far_words for r in quality.judge(rows, split).collect()}
+        assert len(got) == len(texts)
+        for i, text, _ in texts:
+            if words := Counter(WORD.findall(text or "")):
+                assert got[i] == pytest.approx(min(distance(words, q) for q in used.values()), abs=1e-7)
+            else:
+                assert got[i] == 1.0
+
+
 def test_language(spark):
     words = {"en": "the and with that house river", "de": "der und mit dass haus fluß", "fr": "le et avec que maison rivière"}
     rows = []
