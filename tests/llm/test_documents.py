@@ -205,6 +205,41 @@ def test_pitman_yor_sums_to_one(spark):
     assert ((tables >= (n > 0)) & (tables <= n)).all()
 
 
+def test_pitman_yor_has_a_restaurant_for_each_word_before(spark, monkeypatch):
+    """All pairs in one place, with whole words as contexts, give what blocks and wards give, whichever words are frequent."""
+    same_ending = ["nation", "station", "ration", "motion"]
+    texts = [" ".join(f"{same_ending[int(w[1:]) % 4]} {w}" for w in prose(i, 40, 60)) for i in range(30)] + [None, "unheard of", "Nation w1 w2"]
+    train = [i % 4 != 3 for i in range(len(texts))]
+    word, context, doc, _ = pitman_yor.tokens_with_end(pa.array(texts))
+    assert len(np.unique(context)) == len({w.lower() for t in texts for w in WORD.findall(t or "")}) + 1
+    pairs, at = np.unique(np.stack([word, context]), axis=1, return_inverse=True)
+    at = at.reshape(-1)
+    n = np.bincount(at, np.array(train)[doc], pairs.shape[1]).astype(int)
+    names, before = np.unique(pairs[1], return_inverse=True)
+    dish = np.unique(pairs[0], return_inverse=True)[1].reshape(-1)
+    before = before.reshape(-1)
+    by_dish = np.bincount(dish, n > 0)
+    discount = lambda x: min(max(((x == 1).sum() + 0.5) / ((x == 1).sum() + 2 * (x == 2).sum() + 1), 0.1), 0.95)
+    sampler = pitman_yor.Sampler(int((by_dish > 0).sum()), discount(n), discount(by_dish))
+    total = lambda t, rc, rt: {"c": np.bincount(before, n), "t": np.bincount(before, t), "rc": rc.sum(), "rt": rt.sum()}
+    totals = [total(n > 0, by_dish, by_dish > 0)]
+    mean = 0
+    keys = pitman_yor._pair_key(pairs[0], pairs[1])
+    for k in range(pitman_yor.SETTLING + pitman_yor.KEPT):
+        tables, _, rc, rt = list(sampler.sweeps(pairs[0], before, n, totals, keys))[-1]
+        totals.append(total(tables, rc, rt))
+        if k >= pitman_yor.SETTLING:
+            root = sampler.root_estimate(rc, rt, totals[-1])
+            mean = mean + sampler.estimate(before, n, tables, dish, root, totals[-1]) / pitman_yor.KEPT
+    wanted = np.bincount(doc, np.log10(mean)[at])
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, train)), "doc_id bigint, text string, train boolean")
+    every = pitman_yor.frequent_words
+    for some in (slice(None), slice(3), slice(3, 40, 2), slice(0)):
+        monkeypatch.setattr(pitman_yor, "frequent_words", lambda d: (every(d)[0][some], every(d)[1]))
+        got = {r.doc_id: r.score for r in pitman_yor.score(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(wanted.tolist(), abs=1e-3)
+
+
 def test_pitman_yor_of_nothing(spark):
     docs = frame(spark, [(1, "a b"), (2, None)]).selectExpr("doc_id", "text", "false as train")
     assert {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in pitman_yor.score(docs).collect()} == {1: (3, 0, 0), 2: (1, 0, 0)}
