@@ -66,13 +66,15 @@ def with_words(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> References:
     """References from all of `docs` (text, lang); rows without a language don't count."""
     seen = with_words(docs.where("lang is not null").select("lang", "text"))
-    # class 0: words; the others: lengths of character classes, and the number of words
-    entry = lambda kind, key, n: F.struct(F.lit(kind).cast("tinyint").alias("kind"), key.cast("bigint").alias("hash"), n.cast("bigint").alias("n"))
-    words = F.transform("_words", lambda w: entry(0, F.xxhash64(w), F.lit(1)))
-    sizes = [entry(k, F.lit(0), F.col(f"_{n}")) for k, n in enumerate((*NAMES, "n"), 1)]
+    # words first, then the lengths of the character classes and the number of words: told apart by their place
+    sizes = [F.col(f"_{n}").cast("bigint") for n in (*NAMES, "n")]
+    entries = F.concat(F.transform("_words", lambda w: F.xxhash64(w)), F.array(*sizes))
     # outer: else Spark asks first whether there is an element, and makes all of them twice
-    counted = seen.select("lang", F.explode_outer(F.concat(words, F.array(*sizes))).alias("x"))
-    counted = counted.groupBy("lang", F.col("x.kind").alias("kind"), F.col("x.hash").alias("hash")).agg(F.sum("x.n").alias("n"))
+    counted = seen.select("lang", "_n", F.posexplode_outer(entries).alias("at", "x"))
+    word = F.col("at") < F.col("_n")
+    kind = F.when(word, 0).otherwise(F.col("at") - F.col("_n") + 1).cast("tinyint")
+    counted = counted.select("lang", kind.alias("kind"), F.when(word, F.col("x")).otherwise(0).alias("hash"), F.when(word, 1).otherwise(F.col("x")).cast("bigint").alias("n"))
+    counted = counted.groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n"))
     counted = written.table(counted, "quality-counts")
     total: dict[str, list[int]] = {}
     for r in counted.where("kind > 0").collect():
@@ -143,8 +145,10 @@ def _word_distances(texts: DataFrame, known: References) -> DataFrame:
 
 def _repeated(seen: DataFrame) -> DataFrame:
     """`_repeat`: words that stand in a run of five words found twice or more in the text."""
-    runs = F.transform(F.sequence(F.lit(1), F.col("_n") - 4), lambda i: F.xxhash64(F.slice("_words", i, F.lit(5))))
-    seen = seen.withColumn("_runs", F.when(F.col("_n") >= 5, runs).otherwise(F.array().cast("array<bigint>")))
+    # of hashes, so that a word is read once
+    runs = F.transform(F.sequence(F.lit(0), F.col("_n") - 5), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(5)]))
+    seen = seen.withColumn("_hashes", F.when(F.col("_n") >= 5, F.transform("_words", lambda w: F.xxhash64(w))))
+    seen = seen.withColumn("_runs", F.when(F.col("_n") >= 5, runs).otherwise(F.array().cast("array<bigint>"))).drop("_hashes")
     twice = F.size(F.array_distinct("_runs")) < F.size("_runs")
     placed = F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     seen = seen.withColumn("_order", F.when(twice, F.array_sort(placed)))

@@ -264,6 +264,12 @@ def test_quality_counts(spark):
     assert set(rows.columns) <= set(quality.judge(rows, quality.References()).columns)
 
 
+def test_quality_cuts_no_words_out_for_runs_of_five(spark):
+    rows = quality._repeated(quality.with_words(frame(spark, [(1, "a b c d e q a b c d e r")])))
+    assert rows.first()["_repeat"] == 10
+    assert "slice(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quality_verdict(spark):
     common = "the of and to a in that is was for".split()
     good = [" ".join(w for k in range(100) for w in (common[(k * 7 + i) % 10], f"word{k * i % 97}x")) + "." for i in range(1, 30)]
