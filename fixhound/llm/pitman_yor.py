@@ -39,7 +39,7 @@ SETTLING, KEPT = 1, 3
 GATHERED, BLOCK = 6 << 20, 2_000_000
 #: Wards at most, and parts in which totals of frequent words are summed.
 WARDS, PARTS = 512, 16
-STEPS = 1 << 20
+STEPS = 1 << 30
 _END = np.uint64(0x656E64)
 _START = np.uint64(0x7374617274)
 
