@@ -24,10 +24,14 @@ from .stores import written
 #: Character classes. Plain are lower-case letters and digits, so that numbers in a short text don't
 #: make it unusual; stops are the marks of ordinary sentences.
 NAMES = ("plain", "white", "upper", "stops", "other")
-_PLAIN_OR_WHITE = r"[\p{Ll}0-9\x20\x09-\x0D]+"
+# ASCII letters one by one: Java looks those up in a table, before it asks for the class of a letter
+_PLAIN_OR_WHITE = r"[abcdefghijklmnopqrstuvwxyz0123456789 \t\n\x0B\f\r\p{Ll}]+"
 _STOPS = r"[.,;:!?'\"()\-]+"
 #: Words that make up this share of a language at least, 1/OFTEN of them at most, are sent to the documents.
 OFTEN = 1e-6
+#: A word is counted in its text by halving steps up to this many times; one that occurs more often by a pass over the text.
+#: All steps are in one compiled method with what follows, and Java compiles none above 8,000 bytes.
+COUNTED_BY_STEPS = 1 << 12
 #: Documents are judged on characters from this many of them on, on words from this many on.
 LEAST_CHARS, LEAST_WORDS = 100, 150
 #: A document is rejected beyond these distances (square roots of divergences).
@@ -42,10 +46,16 @@ class References:
     words: DataFrame | None = None
 
 
+def _words(text: Column) -> Column:
+    """The words of a text. Without white space at the ends no empty ones arise, and no function has to drop them."""
+    text = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"[\x20\x09-\x0D]+"))
+
+
 def with_words(docs: DataFrame) -> DataFrame:
     """`docs` with `_words`, `_n` and the lengths of its character classes; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    out = docs.withColumn("_words", _words(text))
     out = out.withColumn("_n", F.size("_words")).withColumn("_solid", F.length(F.array_join("_words", "")))
     out = out.withColumn("_rest", F.regexp_replace(text, _PLAIN_OR_WHITE, ""))
     out = out.withColumn("_odd", F.regexp_replace("_rest", r"\p{Lu}+", ""))
@@ -67,13 +77,14 @@ def references(docs: DataFrame) -> References:
     """References from all of `docs` (text, lang); rows without a language don't count."""
     seen = with_words(docs.where("lang is not null").select("lang", "text"))
     # words first, then the lengths of the character classes and the number of words: told apart by their place
-    sizes = [F.col(f"_{n}").cast("bigint") for n in (*NAMES, "n")]
-    entries = F.concat(F.transform("_words", lambda w: F.xxhash64(w)), F.array(*sizes))
+    # as rows words are hashed by compiled code, which functions of arrays are not
+    entries = F.concat("_words", F.array(*[F.col(f"_{n}").cast("string") for n in (*NAMES, "n")]))
     # outer: else Spark asks first whether there is an element, and makes all of them twice
     counted = seen.select("lang", "_n", F.posexplode_outer(entries).alias("at", "x"))
     word = F.col("at") < F.col("_n")
     kind = F.when(word, 0).otherwise(F.col("at") - F.col("_n") + 1).cast("tinyint")
-    counted = counted.select("lang", kind.alias("kind"), F.when(word, F.col("x")).otherwise(0).alias("hash"), F.when(word, 1).otherwise(F.col("x")).cast("bigint").alias("n"))
+    hashed, n = F.when(word, F.xxhash64("x")).otherwise(0), F.when(word, 1).otherwise(F.col("x").try_cast("bigint"))
+    counted = counted.select("lang", kind.alias("kind"), hashed.alias("hash"), n.cast("bigint").alias("n"))
     counted = counted.groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n"))
     counted = written.table(counted, "quality-counts")
     total: dict[str, list[int]] = {}
@@ -98,6 +109,10 @@ def _term(p: Column, q: Column) -> Column:
     return F.when(p > 0, p * F.log2(p / middle)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / middle)).otherwise(0.0)
 
 
+def _entropy(p: Column) -> Column:
+    return F.when(p > 0, p * F.log2(p)).otherwise(0.0)
+
+
 def _distance(twice: Column) -> Column:
     return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
@@ -119,26 +134,40 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _kinds(texts: DataFrame) -> DataFrame:
+    """`_text` (hash), `hash` and share `p` of every different word of every row of `texts` (text) that has one."""
+    hashes = F.sort_array(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)))
+    sorted_ = texts.where("text is not null").select(_text_hash().alias("_text"), hashes.alias("all"))
+    # outer: else Spark asks first whether there is an element, and makes all of them twice
+    rows = sorted_.select("_text", "all", F.posexplode_outer("all").alias("at", "hash"))
+    rows = rows.where(F.col("hash").isNotNull() & ((F.col("at") == 0) | (F.get("all", F.col("at") - 1) != F.col("hash"))))
+    # `last` of the equal ones
+    rows, step = rows.withColumn("last", F.col("at")), COUNTED_BY_STEPS // 2
+    while step:
+        rows = rows.withColumn("next", F.col("last") + step)
+        rows = rows.withColumn("last", F.when(F.get("all", "next") == F.col("hash"), F.col("next")).otherwise(F.col("last")))
+        step //= 2
+    k, n = F.col("last") - F.col("at") + 1, F.size("all")
+    rows = rows.withColumn("k", F.when(k == COUNTED_BY_STEPS, n - F.size(F.array_remove("all", F.col("hash")))).otherwise(k))
+    return rows.select("_text", (F.col("k") / n).alias("p"), "hash")
+
+
 def _word_distances(texts: DataFrame, known: References) -> DataFrame:
     """`_text` (hash) and `_far_words` of every different text of `texts` (text)."""
-    hashed = F.transform(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    sorted_ = texts.where("text is not null").select(_text_hash().alias("_text"), F.sort_array(hashed).alias("all"))
-    places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (F.get("all", i) != F.get("all", i - 1)))
-    begun = sorted_.select("_text", "all", F.size("all").alias("n"), F.when(F.size("all") > 0, places).alias("at"))
-    runs = F.transform("at", lambda p, j: F.struct(F.get("all", p).alias("hash"), (F.coalesce(F.get("at", j + 1), F.col("n")) - p).alias("k")))
-    kinds = begun.select("_text", "n", F.explode_outer(runs).alias("x")).select("_text", (F.col("x.k") / F.col("n")).alias("p"), F.col("x.hash").alias("hash"))
-    often, rare = (known.words.where(c).select("hash", "shares") for c in ("often", "not often"))
+    kinds = _kinds(texts)
+    # a word lessens twice the divergence by (p + q) log(p + q) - p log p - q log q, 0 if q is 0; the last part is made once a word
+    langs = range(len(known.chars))
+    shares = [F.get("shares", F.lit(k)) for k in langs]
+    by_lang = [q.alias(f"q{k}") for k, q in enumerate(shares)] + [_entropy(q).alias(f"own{k}") for k, q in enumerate(shares)]
+    often, rare = (known.words.where(c).select("hash", *by_lang) for c in ("often", "not often"))
     common = kinds.join(F.broadcast(often), "hash")
     others = kinds.join(F.broadcast(often.select("hash")), "hash", "left_anti").join(rare, "hash")
-    less = []
-    for k in range(len(known.chars)):
-        q = F.get("shares", F.lit(k))
-        less.append(F.when(q > 0, F.col("p") * F.log2(1 + q / F.col("p")) + q * F.log2(1 + F.col("p") / q)).otherwise(0.0).alias(f"less{k}"))
+    less = [(_entropy(F.col("p") + F.col(f"q{k}")) - F.col("own") - F.col(f"own{k}")).alias(f"less{k}") for k in langs]
     # a row for each copy of a text, whether it has words or not
-    copies = texts.select(_text_hash().alias("_text"), *[F.lit(0.0).alias(f"less{k}") for k in range(len(less))], F.lit(1).alias("copies"))
-    parts = [rows.select("_text", *less, F.lit(0).alias("copies")) for rows in (common, others)]
+    copies = texts.select(_text_hash().alias("_text"), *[F.lit(0.0).alias(f"less{k}") for k in langs], F.lit(1).alias("copies"))
+    parts = [rows.withColumn("own", _entropy(F.col("p"))).select("_text", *less, F.lit(0).alias("copies")) for rows in (common, others)]
     sums = copies.unionByName(parts[0]).unionByName(parts[1]).groupBy("_text")
-    sums = sums.agg(F.sum("copies").alias("copies"), *[F.sum(f"less{k}").alias(f"less{k}") for k in range(len(less))])
+    sums = sums.agg(F.sum("copies").alias("copies"), *[F.sum(f"less{k}").alias(f"less{k}") for k in langs])
     each = [_distance(2 - F.col(f"less{k}") / F.col("copies")) for k in range(len(less))]
     return sums.select("_text", F.array_min(F.array(*each)).alias("_far_words"))
 
@@ -146,12 +175,13 @@ def _word_distances(texts: DataFrame, known: References) -> DataFrame:
 def _repeated(seen: DataFrame) -> DataFrame:
     """`_repeat`: words that stand in a run of five words found twice or more in the text."""
     # of hashes, so that a word is read once
-    runs = F.transform(F.sequence(F.lit(0), F.col("_n") - 5), lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(5)]))
+    # the last four are shorter, so none of them equals another
+    runs = F.transform("_hashes", lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, 5)]))
     seen = seen.withColumn("_hashes", F.when(F.col("_n") >= 5, F.transform("_words", lambda w: F.xxhash64(w))))
     seen = seen.withColumn("_runs", F.when(F.col("_n") >= 5, runs).otherwise(F.array().cast("array<bigint>"))).drop("_hashes")
     twice = F.size(F.array_distinct("_runs")) < F.size("_runs")
     placed = F.transform("_runs", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    seen = seen.withColumn("_order", F.when(twice, F.array_sort(placed)))
+    seen = seen.withColumn("_order", F.when(twice, F.sort_array(placed)))
     same = lambda i, j: F.get("_order", i)["h"] == F.get("_order", j)["h"]
     marked = F.filter("_order", lambda x, k: F.coalesce(same(k - 1, k), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
     seen = seen.withColumn("_places", F.sort_array(F.transform(marked, lambda x: x["i"])))

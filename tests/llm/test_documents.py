@@ -270,6 +270,31 @@ def test_quality_cuts_no_words_out_for_runs_of_five(spark):
     assert "slice(" not in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_quality_counts_kinds_in_compiled_code(spark):
+    """Every word of a text, however often it occurs; white space at the ends; and no method that Java leaves uncompiled."""
+    often = quality.COUNTED_BY_STEPS
+    texts = [(1, "a " * (often - 1) + "b " * often + "c " * (often + 1) + "d " * (2 * often + 5) + "e"), (2, "\n x y\tx\x0b\x0c\r x "), (3, None), (4, " \n"), (5, "")]
+    rows = frame(spark, texts)
+    wanted = {}
+    for _, text in texts:
+        words = WORD.findall(text or "")
+        wanted |= {w: n / len(words) for w, n in Counter(words).items()}
+    hashes = {r.h: r.w for r in spark.createDataFrame([(w,) for w in wanted], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    got = quality._kinds(rows.select("text")).collect()
+    assert len(got) == len(wanted) and {hashes[r.hash]: r.p for r in got} == pytest.approx(wanted)
+    judged = quality.judge(rows, quality.references(rows.selectExpr("doc_id", "text", "concat('l', doc_id % 2) AS lang")))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "sequence(" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = judged.select("*")._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_quality_verdict(spark):
     common = "the of and to a in that is was for".split()
     good = [" ".join(w for k in range(100) for w in (common[(k * 7 + i) % 10], f"word{k * i % 97}x")) + "." for i in range(1, 30)]
