@@ -3,63 +3,136 @@
 Two texts are similar if the Jaccard similarity of their sets of three-word shingles is high enough;
 a class is what such links hold together. Candidates meet in buckets:
 
-- exactly: by the rarest shingles of each (prefix filter). Of two similar sets in order of rarity, the
-  first shingle that both have stands near the front of both.
-- approximately: by bands of a MinHash signature, the least hash of the shingles for each of many seeds.
+- by the rarest shingles of each (prefix filter). Of two similar sets in the same order, the first
+  shingle that both have stands near the front of both. Any order will do that is the same for all
+  texts: shingles that some thousand texts repeat are counted, the most frequent of them come last.
+- by bands of a MinHash signature, the least hash of the shingles for each of many seeds.
 
 A bucket is never multiplied out. All of it is compared with one text, that which shares most
 buckets with others; those linked are one class. What still differs after some steps is compared
-across classes only, and where the places of the first common shingle allow enough similarity.
+across classes only, and where the places of the first common shingle allow enough similarity;
+this goes by the rarest shingles in either case, so no link is left out.
 Exact copies are one text, so a class of a million copies is compared once.
+
+Nothing that grows with the files goes through the driver or a broadcast at once: pairs are looked up
+in the texts some at a time, and neither texts nor whole sets are stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fixhound.functions.grams import SHINGLE_WORDS, ngrams, with_words
-from fixhound.operators.search import file_texts
-from fixhound.operators.spread import durable, fits_broadcast
+from fixhound.operators import shingle_sets
+from fixhound.operators.shingle_sets import Sets
+from fixhound.operators.spread import durable, stored
 
 MIN_JACCARD = 0.8
 #: At a similarity of 0.8, a pair shares no band once in 1,600.
 BANDS, BAND_ROWS = 14, 4
-STEPS = 4
-
-
-def distinct_texts(files: DataFrame) -> DataFrame:
-    """`doc` (the least file of a text), `n_files`, and the hashes of its shingles."""
-    digests = files.select("file_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
-    heads = durable(digests.groupBy("digest").agg(F.min("file_id").alias("file_id"), F.count("*").alias("n_files")))
-    split = with_words(file_texts(heads, files), "content")
-    shingles = F.transform(ngrams(F.col("words"), SHINGLE_WORDS), lambda g: F.xxhash64(g))
-    sets = split.select("file_id", F.array_distinct(shingles).alias("shingles"))
-    joined = heads.join(sets, "file_id")
-    empty = F.array().cast("array<bigint>")
-    return joined.select(F.col("file_id").alias("doc"), "n_files", F.coalesce("shingles", empty).alias("shingles"))
+#: Steps at most; none after one that links no more than this share of the texts.
+STEPS, FEW = 4, 0.001
+#: Shingles that are told apart by how often they occur, and pairs that are looked up at once: both are collected
+#: and broadcast, at 10 and 16 bytes each.
+COMMON, PAIRS = 1 << 20, 1 << 20
+_MOST = (1 << 16) - 1
+
+
+def _contents(files: DataFrame, *more: F.Column) -> DataFrame:
+    """`doc`, further columns, and the text as its shingles are read."""
+    return files.select(F.col("file_id").alias("doc"), *more, F.lower(F.coalesce("content", F.lit(""))).alias("content"))
+
+
+def common_shingles(sets: DataFrame) -> Broadcast:
+    """The shingles that most texts have, of those that come twice in some thousand texts: hashes in order, numbers."""
+    twice = sets.mapInArrow(shingle_sets.repeated, "shingle bigint, n bigint")
+    counted = stored(twice.groupBy("shingle").agg(F.least(F.sum("n"), F.lit(_MOST)).cast("int").alias("n")))
+    held, least = 0, None
+    for n, rows in sorted(counted.groupBy("n").count().collect(), reverse=True):
+        held += rows
+        if held > COMMON:
+            break
+        least = n
+    table = (counted.where(F.col("n") >= least) if least else counted.limit(0)).toArrow()
+    hashes, numbers = table.column("shingle").to_numpy(), table.column("n").to_numpy().astype(np.uint16)
+    order = np.argsort(hashes)
+    return sets.sparkSession.sparkContext.broadcast((hashes[order], numbers[order]))
+
+
+def marked(sets: DataFrame, min_jaccard: float | None, bands: int = 0, rows: int = BAND_ROWS) -> DataFrame:
+    """In place of texts or shingles: their number `n`; for a similarity `lead`, those that may be the first in common,
+    and parities `odd`; for bands `buckets`."""
+    made: dict[str, Callable[[Sets], pa.Array]] = {"n": lambda s: pa.array(s.sizes().astype(np.int32))}
+    kept = [f for f in sets.schema.fields if f.name not in ("content", "shingles")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "n int"])
+    if min_jaccard is not None:
+        made["lead"] = shingle_sets.leads(common_shingles(sets), min_jaccard)
+        made["odd"] = shingle_sets.parities
+        schema += ", lead array<bigint>, odd array<bigint>"
+    if bands:
+        made["least"] = _least(bands * rows)
+        schema += ", least array<bigint>"
+    columns = sets.select(*[f.name for f in kept], "content" if "content" in sets.columns else "shingles")
+    out = columns.mapInArrow(shingle_sets.with_columns(made), schema)
+    if bands:
+        keys = [F.xxhash64(F.lit(b), *[F.get("least", F.lit(b * rows + r)) for r in range(rows)]) for b in range(bands)]
+        out = out.withColumn("buckets", F.array(*keys)).drop("least")
+    return out
+
+
+def distinct_texts(files: DataFrame, min_jaccard: float = MIN_JACCARD, bands: int = 0) -> DataFrame:
+    """`doc` (the least file of a text), `n_files`, and what `marked` makes of the text."""
+    digest = F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest")
+    every = marked(_contents(files, digest), min_jaccard, bands)
+    columns = [c for c in every.columns if c not in ("doc", "digest")]
+    texts = every.groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("n_files"), F.first(F.struct(*columns)).alias("of"))
+    return texts.where("doc IS NOT NULL").select("doc", "n_files", "of.*")
+
+
+def _shared(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that more than one has, with the number of `members`."""
+    members = F.count("*").over(Window.partitionBy("bucket"))
+    return placed.withColumn("members", members).where("members > 1")
 
 
 def by_rarest(sets: DataFrame, min_jaccard: float = MIN_JACCARD) -> DataFrame:
-    """`doc, n, bucket, place`: the shingles of a text, rarest first, that can be the first common one.
+    """`doc, n, bucket, place, members`: the shingles of a text, rarest first, that can be the first common one.
 
     Two similar sets of n and m share at least (n + m) t, t = s / (1 + s), and at most n - place if the
-    first common one is at `place`; m is at least s n.
+    first common one is at `place`; m is at least s n. `sets` has `shingles`, or is marked.
     """
-    every = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("bucket"))
-    held = every.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles that no other text has come first, so only the others are put in order
-    whole = Window.partitionBy("doc", "n")
-    shared = every.join(held, "bucket").withColumns(
-        {"at": F.row_number().over(whole.orderBy("df", "bucket")), "shared": F.count("*").over(whole)}
+    led = sets if "lead" in sets.columns else marked(sets.select("doc", "shingles"), min_jaccard)
+    return _shared(led.select("doc", "n", F.posexplode("lead").alias("place", "bucket")).select("doc", "n", "bucket", "place"))
+
+
+def _most(min_jaccard: float) -> F.Column:
+    """The size of the largest text that can be similar to one whose first shingle in common is at `place`."""
+    return (F.col("n") - F.col("place")) * F.lit((1 + min_jaccard) / min_jaccard) - F.col("n") + F.lit(1e-6)
+
+
+def _with_partner(placed: DataFrame, min_jaccard: float) -> DataFrame:
+    """Rows of `by_rarest` without those that no other text of their bucket can be similar to, by size and place.
+
+    In order of size, the next larger text is the first that can be, and the next smaller one is nearest to
+    that; where there are but two, each knows the other's place.
+    """
+    by_size = Window.partitionBy("bucket").orderBy("n")
+    sized = placed.withColumn("most", _most(min_jaccard)).withColumns(
+        {f"{side}_{c}": shift(c).over(by_size) for side, shift in (("small", F.lag), ("large", F.lead)) for c in ("n", "most")}
+    )
+    least = F.lit(min_jaccard) * F.greatest("n", "large_n") - F.lit(1e-6)
+    larger = (F.col("n") >= least) & (F.col("large_n") <= F.col("most"))
+    smaller = F.col("small_n") >= F.lit(min_jaccard) * F.col("n") - F.lit(1e-6)
+    both = F.when(F.col("large_n").isNotNull(), F.col("n") <= F.col("large_most")).otherwise(
+        (F.col("n") <= F.col("small_most")) & (F.col("small_n") <= F.col("most"))
     )
-    place = F.greatest(F.col("n") - F.col("shared"), F.lit(0)) + F.col("at") - 1
-    length = F.col("n") - F.ceil(F.lit(min_jaccard) * F.col("n") - F.lit(1e-9)) + 1
-    return shared.withColumn("place", place.cast("int")).where(F.col("place") < length).select("doc", "n", "bucket", "place")
+    fits = F.coalesce(larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))
+    return sized.where(fits & ((F.col("members") > 2) | both)).select(*placed.columns)
 
 
 _P1, _P2, _P3, _P4, _P5 = (
@@ -86,47 +159,83 @@ def seeded(hashes: np.ndarray, seeds: int) -> Iterator[np.ndarray]:
             yield _mixed(_turned(begun ^ (np.uint64(seed) * _P1), 23) * _P2 + _P3).view(np.int64)
 
 
+def _least(seeds: int, gathered: int = 1 << 16) -> Callable[[Sets], pa.Array]:
+    """The least hash of each set for each seed, some sets at a time; 0 where a set is empty."""
+
+    def made(sets: Sets) -> pa.Array:
+        least = np.zeros((len(sets.offsets) - 1, seeds), np.int64)
+        full = np.flatnonzero(sets.sizes())
+        starts, ends = sets.offsets[full], sets.offsets[full + 1]
+        begin = 0
+        while begin < len(full):
+            end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + gathered, "right")))
+            part = sets.hashes[starts[begin] : ends[end - 1]]
+            for seed, values in enumerate(seeded(part, seeds)):
+                least[full[begin:end], seed] = np.minimum.reduceat(values, starts[begin:end] - starts[begin])
+            begin = end
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(least) + 1, dtype=np.int32) * seeds), pa.array(least.ravel()))
+
+    return made
+
+
 def _signatures(seeds: int, gathered: int = 1 << 16):
-    """The least hash of each set for each seed, some sets at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets = batch.column("shingles").offsets.to_numpy().astype(np.int64)
-            hashes = batch.column("shingles").values.to_numpy()
-            least = np.empty((batch.num_rows, seeds), np.int64)
-            begin = 0
-            while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + gathered, "right")) - 1)
-                part = hashes[offsets[begin] : offsets[end]]
-                for seed, values in enumerate(seeded(part, seeds)):
-                    least[begin:end, seed] = np.minimum.reduceat(values, offsets[begin:end] - offsets[begin])
-                begin = end
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * seeds)
-            yield pa.record_batch([batch.column("doc"), batch.column("n"), pa.ListArray.from_arrays(ends, pa.array(least.ravel()))], ["doc", "n", "least"])
-
-    return run
+    """For `mapInArrow`: the rows with their sets' signatures."""
+    return shingle_sets.with_columns({"least": _least(seeds, gathered)})
 
 
 def by_bands(sets: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """`doc, n, bucket`: hashes of the bands of a text's MinHash signature, with what at least two share."""
-    numbered = sets.where(F.size("shingles") > 0).select("doc", F.size("shingles").alias("n"), "shingles")
-    signed = numbered.mapInArrow(_signatures(bands * rows), "doc bigint, n int, least array<bigint>")
-    keys = [F.xxhash64(F.lit(b), *[F.get("least", F.lit(b * rows + r)) for r in range(rows)]) for b in range(bands)]
-    placed = durable(signed.select("doc", "n", F.array(*keys).alias("buckets"))).select("doc", "n", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    return placed.join(shared.select("bucket"), "bucket", "left_semi")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, min_jaccard: float) -> DataFrame:
-    pairs = durable(pairs)
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    # only sets that are compared are shuffled
-    sets = sets.join(F.broadcast(met) if fits_broadcast(met) else met, "doc", "left_semi")
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"set_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    jaccard = common / (F.size("set_a") + F.size("set_b") - common)
-    return both.where(jaccard >= min_jaccard).select("a", "b")
+    """`doc, n, bucket, members`: hashes of the bands of a text's MinHash signature, with what at least two share.
+
+    `sets` has `shingles`, or is marked.
+    """
+    signed = sets if "buckets" in sets.columns else durable(marked(sets.select("doc", "shingles"), None, bands, rows))
+    return _shared(signed.where("n > 0").select("doc", "n", F.explode("buckets").alias("bucket")))
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, min_jaccard: float) -> DataFrame:
+    """The pairs `(a, b)` whose parities don't differ in more bits than the sets of similar texts can in elements.
+
+    Sets of n and m with a similarity of s differ in (n + m) (1 - s) / (1 + s) elements, and each of these
+    turns one bit over, so no similar pair is left out. Of unequal parities the longer one is folded first.
+    """
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")), x)
+    words = F.least(F.size("odda"), F.size("oddb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = [
+        F.when(F.size(odd) > words, F.zip_with(F.slice(odd, F.lit(1), words), F.slice(odd, words + 1, words), xor)).otherwise(F.col(odd))
+        for odd in ("odda", "oddb")
+    ]
+    bits = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda total, x: total + x)
+    most = (F.col("na") + F.col("nb")) * F.lit((1 - min_jaccard) / (1 + min_jaccard)) + F.lit(1e-6)
+    return pairs.where(F.coalesce(bits <= most, F.lit(True))).select("a", "b").distinct()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, files: DataFrame, min_jaccard: float) -> DataFrame:
+    """Those of the pairs `(a, b)` whose texts are similar, in any order."""
+    pairs = durable(_possible(pairs, texts, min_jaccard))
+    parts = -(-pairs.count() // PAIRS)
+    contents = _contents(files).where("doc IS NOT NULL")
+    links = pairs.limit(0)
+    for part in range(parts):
+        some = pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+        links = links.unionByName(_compared(some, contents, min_jaccard))
+    return durable(links)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, min_jaccard: float) -> DataFrame:
+    """The same for pairs that fit a broadcast: of each, the set of the text with fewer pairs goes to the other one."""
+    context, table = texts.sparkSession.sparkContext, pairs.select("a", "b").toArrow()
+    a, b = (table.column(c).to_numpy() for c in ("a", "b"))
+    _, which, times = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+    swapped = times[which[: len(a)]] < times[which[len(a) :]]
+    one, other = np.where(swapped, b, a), np.where(swapped, a, b)
+    order = np.argsort(other, kind="stable")
+    sent = texts.mapInArrow(shingle_sets.sent_to(context.broadcast((other[order], one[order]))), "doc bigint, one bigint, shingles array<bigint>")
+    held = texts.mapInArrow(shingle_sets.held_by(context.broadcast(np.unique(one))), "one bigint, held array<bigint>")
+    common = F.size(F.array_intersect("shingles", "held"))
+    jaccard = common / (F.size("shingles") + F.size("held") - common)
+    return sent.join(held, "one").where(jaccard >= min_jaccard).select(F.col("doc").alias("a"), F.col("one").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,10 +298,10 @@ def _across(placed: DataFrame, min_jaccard: float) -> DataFrame:
     sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels"))
     main = main.where("labels > 1").select("bucket", F.col("m.label").alias("main"))
-    most = (F.col("n") - F.col("place")) * F.lit((1 + min_jaccard) / min_jaccard) - F.col("n") + F.lit(1e-6)
-    mixed = placed.join(main, "bucket").withColumn("most", most).withColumn("other", F.col("label") != F.col("main"))
-    mixed = durable(mixed.select("bucket", "doc", "n", "label", "most", "other"))
-    kind = lambda n: F.floor(F.log(n) * 40).cast("int")
+    mixed = placed.join(main, "bucket").withColumn("most", _most(min_jaccard)).withColumn("other", F.col("label") != F.col("main"))
+    mixed = stored(mixed.select("bucket", "doc", "n", "label", "most", "other"))
+    # at 0.8, a text asks for two classes of sizes at most
+    kind = lambda n: F.floor(F.log(n) * 4).cast("int")
     least = F.lit(min_jaccard) * F.col("n") - F.lit(1e-6)
     small = mixed.where("most >= n").withColumn("kind", kind(F.col("n")))
     large = mixed.where(F.col("most") >= least).withColumn("kind", F.explode(F.sequence(kind(least), kind(F.least("n", "most")))))
@@ -210,22 +319,29 @@ def similar_classes(files: DataFrame, min_jaccard: float = MIN_JACCARD, exact: b
     """`class_id, n_texts, n_files`, a row per class of files `(file_id, content)`.
 
     class_id is the least file of the class; texts of fewer than three words are similar to their copies only,
-    null counts as empty. With `exact=False`, candidates come from MinHash bands: every link
-    found is a true one, and a few may be missing.
+    null counts as empty. With `exact=False`, the first candidates come from MinHash bands; what still differs
+    is compared by the rarest shingles as well, so the classes are the same. A file_id on k rows counts k k times.
     """
-    sets = durable(distinct_texts(files))
-    met = durable(by_rarest(sets, min_jaccard) if exact else by_bands(sets))
-    members = met.groupBy("bucket").agg(F.count("*").alias("members"))
-    degree = met.join(members, "bucket").groupBy("doc").agg(F.sum("members").alias("degree"))
-    met = durable(met.join(degree, "doc"))
-    labels = sets.select("doc", F.col("doc").alias("label"))
+    texts = stored(distinct_texts(files, min_jaccard, 0 if exact else BANDS))
+    rarest = stored(_with_partner(by_rarest(texts, min_jaccard), min_jaccard))
+    met = rarest if exact else stored(by_bands(texts))
+    degree = met.groupBy("doc").agg(F.sum("members").alias("degree"))
+    met = stored(met.join(degree, "doc"))
+    labels = texts.select("doc", F.col("doc").alias("label")).distinct()
+    n_texts = texts.count()
     for step in range(STEPS):
-        links = durable(_similar(_with_one(met.join(labels, "doc"), step, min_jaccard), sets, min_jaccard))
-        if step and links.isEmpty():
+        links = _similar(_with_one(met.join(labels, "doc"), step, min_jaccard), texts, files, min_jaccard)
+        found = links.count()
+        if found:
+            labels = _with_links(labels, links)
+        if step and found <= FEW * n_texts:
             break
-        labels = _with_links(labels, links)
     if exact:
-        labels = _with_links(labels, _similar(_across(met.join(labels, "doc"), min_jaccard), sets, min_jaccard))
-    return labels.join(sets.select("doc", "n_files"), "doc").groupBy(F.col("label").alias("class_id")).agg(
-        F.count("*").alias("n_texts"), F.sum("n_files").alias("n_files")
+        labels = _with_links(labels, _similar(_across(rarest.join(labels, "doc"), min_jaccard), texts, files, min_jaccard))
+    rows = files.groupBy(F.col("file_id").alias("doc")).agg(F.count("*").alias("rows"))
+    counts = texts.groupBy("doc").agg(F.count("*").alias("texts"), F.sum("n_files").alias("files")).join(rows, "doc")
+    times = F.col("texts") * F.col("rows")
+    counts = counts.select("doc", (times * times).alias("n_texts"), (F.col("files") * F.col("rows") * times).alias("n_files"))
+    return labels.join(counts, "doc").groupBy(F.col("label").alias("class_id")).agg(
+        F.sum("n_texts").alias("n_texts"), F.sum("n_files").alias("n_files")
     )

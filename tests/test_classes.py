@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fixhound.catalog import tables as t
-from fixhound.operators import classes
+from fixhound.functions import grams
+from fixhound.operators import classes, shingle_sets
 from tests.test_plans import plan_of
 
 FILES = "file_id bigint, content string, label int, n int, bucket string"
@@ -113,3 +114,59 @@ def test_pairs_of_very_different_sizes_are_not_compared(spark):
     rows = [(1, 10, 7, 1, 2), (2, 100, 7, 2, 2), (3, 95, 7, 3, 1)]
     placed = spark.createDataFrame(rows, "doc bigint, n int, bucket bigint, label bigint, degree bigint")
     assert {tuple(r) for r in classes._with_one(placed, 0, 0.8).collect()} == {(2, 3)}
+
+
+def test_nothing_that_grows_with_the_files_is_broadcast(spark, monkeypatch):
+    def refused(df):
+        raise AssertionError("broadcast without a bound")
+
+    monkeypatch.setattr(F, "broadcast", refused)
+    assert result(spark, corpus()) == brute(corpus())
+
+
+def test_any_order_of_shingles_and_pairs_in_parts_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(classes, "COMMON", 5)
+    monkeypatch.setattr(classes, "PAIRS", 7)
+    assert result(spark, corpus()) == brute(corpus())
+
+
+def test_sets_are_those_of_the_words_between_white_space(spark):
+    texts = ["", " ", "a b", "a b c", "a b c a b c", "\tA\n b\x0bC\x0c d\r", "a\u00a0b c d", "\u00c4 \u0130 \u03a3 \u00df", "x " * 9, "a bc d", "ab c d", "\x1c a b c"]
+    files = spark.createDataFrame([(k, text, 1, 2, "b") for k, text in enumerate(texts)], FILES)
+    made = {r.doc: r for r in classes.marked(classes._contents(files), 0.8).collect()}
+    wanted = files.select("file_id", F.size(grams.distinct_ngrams(grams.words(F.col("content")), 3)).alias("n")).collect()
+    assert {k: r.n for k, r in made.items()} == {r.file_id: r.n for r in wanted}
+    assert made[9].lead != made[10].lead and made[3].lead[0] in classes_of(spark, "a b c a b c") and not made[2].lead
+
+
+def classes_of(spark, text):
+    files = spark.createDataFrame([(1, text, 1, 2, "b")], FILES)
+    return classes.marked(classes._contents(files), 0.1).first().lead
+
+
+def test_parities_leave_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 9, 63, 64, 65, 700):
+        some = rng.integers(-(2**63), 2**63 - 1, n)
+        other = np.concatenate([some[n // 10 :], rng.integers(-(2**63), 2**63 - 1, n // 10)])
+        odd = [shingle_sets.parities(shingle_sets._in_order(None, np.array([0, n]), np.array(x)))[0].as_py() for x in (some, other)]
+        assert len(odd[0]) * 64 >= n
+        assert sum((x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(*odd)) <= 2 * (n // 10)
+
+
+def test_rows_with_a_partner_stay(spark):
+    """Of all pairs in a bucket that size and place allow, both rows stay."""
+    rng = np.random.default_rng(7)
+    rows, allowed = [], set()
+    for bucket in range(300):
+        some = [(int(n), int(rng.integers(0, n // 5 + 1))) for n in rng.integers(20, 60, 2 + bucket % 4)]
+        rows += [(100 * bucket + k, n, bucket, place, len(some)) for k, (n, place) in enumerate(some)]
+        most = [(n - place) * 2.25 - n + 1e-6 for n, place in some]
+        for i, (n, _) in enumerate(some):
+            for j, (m, _) in enumerate(some):
+                if i != j and min(n, m) >= 0.8 * max(n, m) and m <= most[i] and n <= most[j]:
+                    allowed.add(100 * bucket + i)
+    placed = spark.createDataFrame(rows, "doc bigint, n int, bucket bigint, place int, members bigint").repartition(3)
+    kept = {r.doc for r in classes._with_partner(placed, 0.8).collect()}
+    two = {doc for doc, _, _, _, members in rows if members == 2}
+    assert allowed <= kept and kept & two == allowed & two and len(kept) < len(rows)
