@@ -469,7 +469,7 @@ def similar_classes(spark, sf_dir):
 
 @query
 def similar_classes_lsh(spark, sf_dir):
-    """The same by MinHash bands, which may miss a link; no check, as the hashes are Spark's."""
+    """The same, with the first candidates by MinHash bands; no check, as the hashes of the bands are Spark's."""
     return classes.similar_classes(t.files(spark, sf_dir), exact=False)
 
 

@@ -116,6 +116,14 @@ def test_pairs_of_very_different_sizes_are_not_compared(spark):
     assert {tuple(r) for r in classes._with_one(placed, 0, 0.8).collect()} == {(2, 3)}
 
 
+def test_links_that_share_no_band_are_found(spark, monkeypatch):
+    """Whatever the bands leave out, also all, is compared by the rarest shingles."""
+    by_bands = classes.by_bands
+    for kept in ("false", "doc % 2 = 0"):
+        monkeypatch.setattr(classes, "by_bands", lambda sets, kept=kept: by_bands(sets).where(kept))
+        assert result(spark, corpus(), exact=False) == brute(corpus())
+
+
 def test_nothing_that_grows_with_the_files_is_broadcast(spark, monkeypatch):
     def refused(df):
         raise AssertionError("broadcast without a bound")
